@@ -96,6 +96,7 @@ def exact_dedup(
     groups = suspects.groupBy("text_sha256").agg(
         F.max(F.struct("doc_id", "_row")).alias("_best"), F.count("*").alias("group_size")
     )
+    groups = staged(groups, "groups")  # a plain scan on each side lets a skewed join be split
     repeated = suspects.join(groups, "text_sha256").select(
         "doc_id",
         F.col("_best.doc_id").alias("keep_id"),
