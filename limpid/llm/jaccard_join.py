@@ -291,7 +291,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64), pa.int64()), pa.array(keys, pa.binary())], ["tok", "key"])
 
     index = staged(narrow.select("t").mapInArrow(second, "tok long, key binary").distinct(), "index")
-    shared = index.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = staged(index.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
     postings = staged(index.join(shared, "tok"), "postings")
     drop_staged(index)
 
@@ -300,6 +300,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = home.groupBy("g").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     home = staged(home.join(parts, "g").select("key", "g", F.pmod(F.xxhash64("key"), "parts").alias("part")), "groups")
     matrix = postings.join(home, "key").groupBy("tok", "g", "part").agg(F.count("*").alias("holders"), F.min("key").alias("holder"))
+    matrix = staged(matrix, "matrix")
     pairs = staged(
         postings.join(matrix, "tok")
         .filter((F.col("holders") > 1) | (F.col("holder") != F.col("key")))  # not a group through the query alone
@@ -383,6 +384,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .join(degrees.withColumnRenamed("a", "key"), "key", "left")
         .select("key", F.coalesce("component", "least").alias("component"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("linked"))
     )
+    info = staged(info, "components")  # a plain scan on each side lets a skewed join be split
     return members.join(info, "key", "left").select(
         F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"), F.coalesce("linked", F.lit(0)).cast("long").alias("n_links")
     )
