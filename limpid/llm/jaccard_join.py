@@ -213,7 +213,7 @@ def compare(members: list, queries: list, percent: int) -> tuple[list[tuple[byte
     return counts, edges
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_slots: int = 1 << 28) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_slots: int = 1 << 27) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, n_links).
 
     A document's set holds its distinct ``shingle``-word n-grams. Two documents link when
@@ -224,7 +224,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     become a component's id unless all ids in it are null. Repeated rows are copies of
     one another. An empty table gives an empty result; other columns are not read.
 
-    The table of token levels has ``max_slots`` / 4 bytes (64 MB) at most. On larger
+    The table of token levels has ``max_slots`` / 4 bytes (32 MB) at most. On larger
     inputs it tells frequent tokens less sharply; the result stays exact.
     """
     import pyarrow as pa
@@ -241,11 +241,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shards *= 2
 
     # Pass one: each document's class, and all tokens, packed, to count documents by token.
-    id_type = pa.int64() if kind == "bigint" else None
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        names = ["i", "n", "key", "text_hash", "shard", "pack"]
+        names = ["i", "n", "key", "row", "shard", "pack"]
 
         def flush(ids: pa.DataType) -> pa.RecordBatch:
             rows = list(pack_tokens(np.concatenate(held), shards))
@@ -253,15 +252,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             none = [pa.nulls(len(rows), ids), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())]
             return pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names)
 
-        ids = id_type
+        ids = None
         for b in batches:
             ids = b.column("i").type
             n, keys, hashes = [], [], []
-            for t in b.column("t").to_pylist():
+            for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist()):
                 s = shingle_set(t, shingle)
+                hashes.append(row_hash(i, t))
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-                hashes.append(_text_hash(t))
                 held.append(s)
                 size += len(s)
                 if size >= FLUSH:
@@ -272,25 +271,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if size:
             yield flush(ids)
 
-    both = staged(narrow.mapInArrow(first, f"i {kind}, n long, key binary, text_hash long, shard int, pack binary"), "sets")
-    level_table = count_levels(both.filter("shard is not null").select("shard", "pack"), slots, shards)
-    levels = spark.sparkContext.broadcast(level_table)
-    members = staged(both.filter("shard is null").select("i", "n", "key", "text_hash"), "documents")
+    both = staged(narrow.mapInArrow(first, f"i {kind}, n long, key binary, row long, shard int, pack binary"), "sets")
+    levels = spark.sparkContext.broadcast(count_levels(both.filter("shard is not null").select("shard", "pack"), slots, shards))
+    members = staged(both.filter("shard is null").select("i", "n", "key", "row"), "documents")
     drop_staged(both)
 
     # Pass two: index prefixes, without the tokens that one document holds alone.
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toks, keys = [], []
+            toks, keys, sizes = [], [], []
             for t in b.column("t").to_pylist():
                 if len(s := shingle_set(t, shingle)):
                     own = prefix(s, levels.value.of(s), percent)
                     toks.append(own)
                     keys += [set_key(s)] * len(own)
+                    sizes += [len(s)] * len(own)
             flat = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64), pa.int64()), pa.array(keys, pa.binary())], ["tok", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64), pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["tok", "key", "n"])
 
-    index = staged(narrow.select("t").mapInArrow(second, "tok long, key binary").distinct(), "index")
+    index = staged(narrow.select("t").mapInArrow(second, "tok long, key binary, n long").distinct(), "index")
     shared = staged(index.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
     postings = staged(index.join(shared, "tok"), "postings")
     drop_staged(index)
@@ -299,23 +298,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     home = postings.groupBy("key").agg(F.max_by("tok", F.struct("m", "tok")).alias("g"))
     parts = home.groupBy("g").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     home = staged(home.join(parts, "g").select("key", "g", F.pmod(F.xxhash64("key"), "parts").alias("part")), "groups")
-    matrix = postings.join(home, "key").groupBy("tok", "g", "part").agg(F.count("*").alias("holders"), F.min("key").alias("holder"))
-    matrix = staged(matrix, "matrix")
-    pairs = staged(
-        postings.join(matrix, "tok")
-        .filter((F.col("holders") > 1) | (F.col("holder") != F.col("key")))  # not a group through the query alone
-        .select("key", "g", "part")
-        .distinct(),
-        "pairs",
+    matrix = (
+        postings.join(home, "key")
+        .groupBy("tok", "g", "part")
+        .agg(F.count("*").alias("holders"), F.min("key").alias("holder"), F.min("n").alias("small"), F.max("n").alias("large"))
     )
+    matrix = staged(matrix, "matrix")
+    alone = (F.col("holders") == 1) & (F.col("holder") == F.col("key"))
+    sizes_meet = (F.col("n") * percent <= F.col("large") * 100) & (F.col("small") * percent <= F.col("n") * 100)
+    pairs = staged(postings.join(matrix, "tok").filter(~alone & sizes_meet).select("key", "g", "part").distinct(), "pairs")
     chunks = pairs.groupBy("g", "part").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
-    queries = pairs.join(chunks, ["g", "part"]).select("key", "g", "part", F.pmod(F.xxhash64("key", F.lit(1)), "chunks").alias("chunk"), F.lit(1).alias("role"))
-    stock = home.join(chunks, ["g", "part"]).select("key", "g", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
-    roles = staged(queries.unionByName(stock), "roles")
+    queries = pairs.join(chunks, ["g", "part"]).select("key", "g", "part", F.pmod(F.xxhash64("key", F.lit(1)), "chunks").alias("chunk"), F.lit(2).alias("role"))
+    stock = home.join(chunks, ["g", "part"]).select("key", "g", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
+    # a class that is member and query of one tile goes there once
+    roles = queries.unionByName(stock).groupBy("g", "part", "chunk", "key").agg(F.sum("role").alias("role"))
+    classes = members.filter("key is not null").groupBy("key").agg(
+        F.min("i").alias("least"), F.count("*").alias("copies"), F.min("row").alias("row")
+    )
+    classes = staged(classes, "classes")
+    roles = staged(roles.join(classes.select("key", "copies"), "key"), "roles")
 
-    # Pass three: whole sets, of the classes compared only, one document for each.
-    classes = members.filter("key is not null").groupBy("key").agg(F.min("i").alias("least"), F.count("*").alias("copies"), F.min("text_hash").alias("text_hash"))
-    wanted = staged(roles.select("key").distinct().join(classes, "key").select("key", "text_hash", "copies"), "wanted")
+    # Pass three: whole sets, only of the classes compared and from one document each.
+    wanted = staged(roles.select("key").distinct().join(classes, "key").select("row"), "wanted")
     bits = 1 << 20
     while bits < min(16 * wanted.count(), 1 << 28):
         bits *= 2
@@ -323,31 +327,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b.column("text_hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            h = b.column("row").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             rows = list(pack_slots(h, bits, n_shards))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["shard", "pack"])
 
-    chosen = spark.sparkContext.broadcast(merge_packs(wanted.select("text_hash").mapInArrow(pack, PACK_SCHEMA), bits, n_shards, twice=False))
+    chosen = spark.sparkContext.broadcast(merge_packs(wanted.mapInArrow(pack, PACK_SCHEMA), bits, n_shards, twice=False))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
         for b in batches:
-            texts = b.column("t").to_pylist()
-            hit = chosen.value.hits(np.array([_text_hash(t) for t in texts], np.int64).view(np.uint64))
             keys, sets = [], []
-            for k in np.flatnonzero(hit):
-                if len(s := shingle_set(texts[k], shingle)) and (key := set_key(s)) not in sent:
-                    if len(sent) < 100_000:
-                        sent.add(key)
-                    keys.append(key)
+            texts = b.column("t").to_pylist()
+            rows = [row_hash(i, t) for i, t in zip(b.column("i").to_pylist(), texts)]
+            for k in np.flatnonzero(chosen.value.hits(np.array(rows, np.int64).view(np.uint64))):
+                if len(s := shingle_set(texts[k], shingle)):
+                    keys.append(set_key(s))
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
 
-    sets = narrow.select("t").mapInArrow(third, "key binary, set binary").groupBy("key").agg(F.first("set").alias("set"))
-    sets = staged(sets.join(wanted.select("key", "copies"), "key"), "whole-sets")
+    sets = staged(narrow.mapInArrow(third, "key binary, set binary"), "whole-sets")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, asked = None, [], []
+        now, last, own, asked = None, None, [], []
 
         def done() -> pa.RecordBatch:
             counts, edges = compare(own, asked, percent) if own and asked else ([], [])
@@ -362,16 +362,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if now != (g, part, chunk):
                     if now:
                         yield done()
-                    now, own, asked = (g, part, chunk), [], []
-                tokens = np.frombuffer(raw, np.uint64)
-                if role:
+                    now, last, own, asked = (g, part, chunk), None, [], []
+                if key == last:
+                    continue  # a repeated row
+                last, tokens = key, np.frombuffer(raw, np.uint64)
+                if role & 2:
                     asked.append((key, tokens))
-                else:
+                if role & 1:
                     own.append((key, tokens, copies))
         if now:
             yield done()
 
-    laid = roles.join(sets, "key").repartition("g", "part", "chunk").sortWithinPartitions("g", "part", "chunk", "role")
+    laid = roles.join(sets, "key").repartition("g", "part", "chunk").sortWithinPartitions("g", "part", "chunk", "key")
     found = staged(laid.select("g", "part", "chunk", "role", "key", "set", "copies").mapInArrow(tiles, "a binary, b binary, n long"), "links")
     labels = connected_components(found.filter("b is not null").select("a", "b"))
     degrees = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("linked"))
@@ -390,6 +392,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _text_hash(text: str | None) -> int:
-    h = xxhash.xxh3_64_intdigest((text or "").encode())
+def row_hash(doc_id: object, text: str | None) -> int:
+    h = xxhash.xxh3_64_intdigest((text or "").encode(), seed=xxhash.xxh3_64_intdigest(repr(doc_id)))
     return h - (1 << 64) if h >> 63 else h
