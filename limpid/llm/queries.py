@@ -5,14 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limpid.llm import exact_dedup, jaccard_join, language_id, line_dedup, secret_scan, token_counts
+from limpid.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, quality, secret_scan, token_counts
 from limpid.llm.common import table
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """Grades from the ratings: 0 toxic, 1 of low quality, 2 good."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, graded(table(spark, sf_dir, "labels")))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", "expected_grade", "tail_probability", (F.col("tail_probability") >= 0.12).alias("kept"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.html_extraction(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.char_length("_text").cast("long").alias("n_chars"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.find_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    clean = F.size("_items") == 0
+    return out.select("doc_id", clean.alias("kept"), (~clean).alias("contaminated"), F.col("_items").alias("item_ids"), F.col("_score").alias("best_score"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select(
+        "doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"),
+        F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_order").alias("position"),
+    )
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs)
@@ -45,7 +77,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_source_mixing": op5_source_mixing,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scans": op8_secret_scans,
