@@ -25,10 +25,16 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal texts the one with the smallest id stays."""
-    joined = jaccard_join.jaccard_join(docs)
+    """Of documents linked by near-equal texts the one with the smallest id stays, and one
+    of rows with the same id and text."""
+    joined = staged(jaccard_join.jaccard_join(docs), "groups")
     gone = staged(joined.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = staged(joined.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
