@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
+SLICE = 512  # rows that a Python worker turns into Python objects at a time
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors share, from ``spark.checkpoint.dir``.
@@ -43,3 +47,10 @@ def drop_staged(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sliced(batches: Iterator, rows: int = SLICE) -> Iterator:
+    """Arrow batches cut into runs of ``rows`` rows, to bound a worker's memory."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

@@ -16,12 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import staged
+from limpid.llm.common import sliced, staged
 
 K1, B = 1.2, 0.75
 BLOCK = 32  # items of an index block
 EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
-RAW_WORDS = 200_000
+RAW_WORDS = 100_000
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -174,7 +174,7 @@ def shards_of(items: DataFrame, id_col: str, text_col: str, shard_items: int) ->
     narrow = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t")).filter(F.col("t").isNotNull())
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             terms, sizes = [], []
             for t in b.column("t").to_pylist():
                 own = terms_of(t)
@@ -224,7 +224,7 @@ def find_contaminated(
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(at).to_pylist()
             ids, scores = [[] for _ in texts], [0.0] * len(texts)
             for h in held:

@@ -14,7 +14,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import staged
+from limpid.llm.common import sliced, staged
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -172,7 +172,7 @@ def host_votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     import pyarrow as pa
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             hosts, paths, scores = [], [], []
             for host, html in zip(b.column("host").to_pylist(), b.column("h").to_pylist()):
                 if html and (best := best_path(parse(html))):
@@ -207,7 +207,7 @@ def html_extraction(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     at = names.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [extract(parse(h), p) if h else "" for h, p in zip(b.column(at).to_pylist(), b.column(len(names) + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(names) + 1)], pa.array(texts, pa.string())], [*names, "_host", "_text"])
 

@@ -25,15 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import drop_staged, staged
+from limpid.llm.common import drop_staged, sliced, staged
 from limpid.llm.components import connected_components
 from limpid.llm.sketch import PACK_SCHEMA, merge_packs, pack_slots
 
 SPACE = 36  # bits of the hash that counts are kept by
 LEVELS = (2, 16, 256)  # documents with a token from which its level is 1, 2, 3
 TILE = 256  # members and queries of a comparison task's unit
-FLUSH = 1 << 21
-WORDS = 400_000
+FLUSH = 1 << 20
+WORDS = 150_000
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
@@ -129,7 +129,7 @@ def count_levels(packs: DataFrame, slots: int, shards: int) -> Levels:
         import pyarrow as pa
 
         own: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for b in batches:
+        for b in sliced(batches):
             for k, pack in zip(b.column("shard").to_pylist(), b.column("pack").to_pylist()):
                 own.setdefault(k, []).append(unpack(pack))
         for k, got in own.items():
@@ -253,7 +253,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names)
 
         ids = None
-        for b in batches:
+        for b in sliced(batches):
             ids = b.column("i").type
             n, keys, hashes = [], [], []
             for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist()):
@@ -278,7 +278,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # Pass two: index prefixes, without the tokens that one document holds alone.
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             toks, keys, sizes = [], [], []
             for t in b.column("t").to_pylist():
                 if len(s := shingle_set(t, shingle)):
@@ -326,7 +326,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_shards = max(1, min(64, bits >> 18))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             h = b.column("row").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             rows = list(pack_slots(h, bits, n_shards))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["shard", "pack"])
@@ -334,7 +334,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = spark.sparkContext.broadcast(merge_packs(wanted.mapInArrow(pack, PACK_SCHEMA), bits, n_shards, twice=False))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keys, sets = [], []
             texts = b.column("t").to_pylist()
             rows = [row_hash(i, t) for i, t in zip(b.column("i").to_pylist(), texts)]
@@ -356,7 +356,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = [c[1] for c in counts] + [None] * len(edges)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             cols = [batch.column(c).to_pylist() for c in ("g", "part", "chunk", "role", "key", "set", "copies")]
             for g, part, chunk, role, key, raw, copies in zip(*cols):
                 if now != (g, part, chunk):

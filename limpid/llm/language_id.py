@@ -17,10 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limpid.llm.common import sliced
+
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 DIM = 1 << 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 SEGMENT = 64
 
 
@@ -33,7 +35,7 @@ class _Hashes(dict):
 
     def __missing__(self, name: str) -> int:
         n = zlib.crc32(name.encode()) & (DIM - 1)
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[name] = n
         return n
 
@@ -226,7 +228,7 @@ def train(samples: dict[str, list[str]], steps: int = 40, rate: float = 0.3, dec
     return Crf(langs, weights, trans, lexicon)
 
 
-def predict(texts: list[str | None], model: Crf, batch_words: int = 200_000) -> list[tuple[str, float]]:
+def predict(texts: list[str | None], model: Crf, batch_words: int = 50_000) -> list[tuple[str, float]]:
     """(language, mean marginal of its words) of each text; ``und`` without a letter."""
     out: list[tuple[str, float]] = []
     held: list[list[str]] = []
@@ -270,7 +272,7 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 120, words_per_lang: int = 60_000, max_langs: int = 256) -> Crf:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 120, words_per_lang: int = 30_000, max_langs: int = 256) -> Crf:
     """Train on a sample of the labelled rows that are not held out: for each language whole
     texts, lowest hash first, until ``docs_per_lang`` or ``words_per_lang`` is reached.
 
@@ -309,7 +311,7 @@ def language_id(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFram
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             got = predict(b.column(at).to_pylist(), held.value)
             cols = [b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "score"])

@@ -14,11 +14,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import drop_staged, staged
+from limpid.llm.common import drop_staged, sliced, staged
 from limpid.llm.sketch import PACK_SCHEMA, merge_packs, pack_slots, sized
 
 BLANKS = b" \t\n\v\f\r"
-FLUSH = 1 << 20  # hashes of a task held before they are packed
+FLUSH = 1 << 18  # hashes of a task held before they are packed
 
 
 def line_keys(text: str, min_chars: int) -> list[bytes | None]:
@@ -91,7 +91,7 @@ def line_dedup(
     text_col: str = "text",
     min_chars: int = 20,
     min_docs: int = 3,
-    max_filter_bits: int = 1 << 28,
+    max_filter_bits: int = 1 << 27,
     broadcast_keys: int = 1_000_000,
 ) -> DataFrame:
     """``docs``, with the text rewritten, and two more columns _n_lines, _n_dropped.
@@ -124,7 +124,7 @@ def line_dedup(
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["shard", "pack"])
 
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column("t").to_pylist():
                 held += document_hashes(t, min_chars)
                 if len(held) >= FLUSH:
@@ -135,7 +135,7 @@ def line_dedup(
     seen = spark.sparkContext.broadcast(merge_packs(narrow.select("t").mapInArrow(pack, PACK_SCHEMA), filter_bits, shards))
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ids, keys, rows = [], [], []
             for i, t in zip(b.column("i").to_pylist(), b.column("t").to_pylist()):
                 found = document_hashes(t, min_chars)
@@ -170,7 +170,7 @@ def line_dedup(
         )
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 results = []
                 for i, t in zip(b.column(at_id).to_pylist(), b.column(at_text).to_pylist()):
                     t = t or ""
@@ -191,7 +191,7 @@ def line_dedup(
     )
 
     def apply_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             drops = b.column(len(names)).to_pylist()
             yield written(b, [rewrite(t or "", set(d or ()), min_chars) for t, d in zip(b.column(at_text).to_pylist(), drops)])
 

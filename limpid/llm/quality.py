@@ -16,8 +16,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limpid.llm.common import sliced
+
 DIM = 1 << 16
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 _CORE = re.compile(r"^\W*(.*?)(\W*)$", re.S)
 
 
@@ -153,7 +155,7 @@ def score_quality(docs: DataFrame, model: Ordinal, text_col: str = "text") -> Da
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             got = [held.value.score(t) for t in b.column(at).to_pylist()]
             cols = [b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array([g[k] for g in got], pa.float64()) for k in (0, 1)]], [*names, "expected_grade", "tail_probability"])

@@ -20,6 +20,8 @@ from urllib.parse import unquote_to_bytes
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limpid.llm.common import sliced
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""((?:(?ai:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _WORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
@@ -199,7 +201,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [find_secrets(t or "", max_inflated) for t in b.column("t").to_pylist()]
             cols = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in f[j]] for f in found], pa.list_(span)) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("i"), *cols], ["i", "base", "spans"])

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limpid.llm.common import sliced
+
 #: A single space between two characters that are no space: no piece of a
 #: sentencepiece vocabulary with white space as prefix crosses it.
 SAFE = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
@@ -98,7 +100,7 @@ def token_counts(
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column("t").to_pylist()]
             n = pa.array(count_texts(texts, model, batch_bytes, split_chars), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("n"), n], ["i", "n_bytes", "n_tokens"])
