@@ -14,7 +14,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letter, or whose words agree on no language."""
     found = language_id.language_id(docs, language_id.fit(docs))
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= 0.4)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= 0.3)).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
