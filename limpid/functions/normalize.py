@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta, timezone
+from decimal import Decimal
 from email.utils import parsedate_to_datetime
 
 from pyspark.sql import Column
@@ -41,25 +42,30 @@ def normalize_number(col: Column) -> Column:
     kind alone is the decimal mark, so '1,000' is 1.
     """
     s = T.js_trim(col)
-    x = F.regexp_replace(s, f"[{GROUPING}]", "")
-    dot, comma = F.length(x) - F.locate(".", F.reverse(x)), F.length(x) - F.locate(",", F.reverse(x))
-    both = x.contains(".") & x.contains(",")
-    plain = (
-        F.when(both & (dot > comma), F.replace(x, F.lit(","), F.lit("")))
-        .when(both, F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+    plain = T.let(F.when(F.length(s) <= 64, F.regexp_replace(s, f"[{GROUPING}]", "")), _one_mark)
+    return F.when(col.isNotNull(), T.let(plain, _canonical_number))
+
+
+def _one_mark(x: Column) -> Column:
+    """The text with a point as its only mark."""
+    dot, comma = F.locate(".", F.reverse(x)), F.locate(",", F.reverse(x))
+    return (
+        F.when((dot > 0) & (comma > 0) & (dot < comma), F.replace(x, F.lit(","), F.lit("")))
+        .when((dot > 0) & (comma > 0), F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
         .otherwise(F.replace(x, F.lit(","), F.lit(".")))
     )
+
+
+def _canonical_number(x: Column) -> Column:
     shape = r"^([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?)(\d+))?\z"
-    part = lambda k: F.regexp_extract(plain, shape, k)
+    part = lambda k: F.regexp_extract(x, shape, k)
     whole = F.regexp_replace(part(2), r"^0+(?=\d)", "")
-    fraction = F.regexp_replace(part(3), r"0+\z", "")
+    fraction = F.regexp_replace(F.concat(F.lit("."), part(3)), r"\.?0*\z", "")
+    body = T.let(F.concat(whole, fraction), lambda b: F.when(b == "", F.lit("0")).otherwise(b))
     power = F.regexp_replace(part(5), r"^0+(?=\d)", "")
-    body = F.concat(whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(F.lit("")))
-    body = F.when(body == "", F.lit("0")).otherwise(body)
-    exponent = F.when(power == "", F.lit("")).otherwise(F.concat(F.lit("e"), F.when(part(4) == "-", F.lit("-")).otherwise(F.lit("")), power))
-    sign = F.when((part(1) == "-") & (body != "0"), F.lit("-")).otherwise(F.lit(""))
-    good = plain.rlike(shape) & plain.rlike(r"\d") & (F.length(s) <= 64) & ~plain.rlike(r"^[+-]?\.?[eE]")
-    return F.when(good, F.concat(sign, body, exponent))
+    exponent = F.when(part(5) == "", F.lit("")).otherwise(F.concat(F.lit("e"), F.when(part(4) == "-", F.lit("-")).otherwise(F.lit("")), power))
+    sign = F.when(x.startswith("-") & x.rlike(r"^-[0.]*[1-9]"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(x.rlike(shape) & x.rlike(r"^[+-]?\.?\d"), F.concat(sign, body, exponent))
 
 
 def normalize_boolean(col: Column, output: str = "string", true_words=TRUE_WORDS, false_words=FALSE_WORDS) -> Column:
@@ -173,10 +179,12 @@ def to_integer(col: Column, policy: str = "lenient", low: int | None = None, hig
 
 
 def to_float(col: Column, low: float | None = None, high: float | None = None) -> Column:
-    v = normalize_number(col.cast("string")).try_cast("double")
-    good = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    good = good & (v >= low) if low is not None else good
-    return F.when(good & (v <= high) if high is not None else good, v)
+    def checked(v: Column) -> Column:
+        good = F.abs(v) < float("inf")
+        good = good & (v >= low) if low is not None else good
+        return F.when(good & (v <= high) if high is not None else good, v)
+
+    return T.let(normalize_number(col.cast("string")).try_cast("double"), checked)
 
 
 def to_boolean(col: Column, output: str = "boolean") -> Column:
@@ -201,12 +209,12 @@ def number_to_string(col: Column) -> Column:
         if not power:
             return mantissa
         p = int(power)
-        return format(float(x), "f").rstrip("0").rstrip(".") if -7 <= p < 0 else format(int(float(x))) if 0 <= p < 21 else f"{mantissa}e{p:+d}"
+        return format(Decimal(r), "f") if -7 < p < 0 else format(int(float(x))) if 0 <= p < 21 else f"{mantissa}e{p:+d}"
 
-    plain = F.regexp_replace(col.cast("string"), r"\.0\z", "")
     odd = col.cast("string").contains("E")
-    shown = F.when(odd, F.udf(show, "string", useArrow=True)(F.when(odd, col))).when(col == 0, F.lit("0")).otherwise(plain)
-    return F.when(col.isNotNull() & ~F.isnan(col) & (F.abs(col) < float("inf")), shown)
+    plain = F.when(col == 0, F.lit("0")).otherwise(F.regexp_replace(col.cast("string"), r"\.0\z", ""))
+    finite = ~F.isnan(col) & (F.abs(col) < float("inf"))
+    return F.when(finite, F.coalesce(F.udf(show, "string", useArrow=True)(F.when(odd & finite, col)), plain))
 
 
 def coerce_with_fallback(col: Column, fallback: bool | int | float | str) -> Column:

@@ -34,6 +34,11 @@ def per_text(fn: Callable[[str], object], kind: str = "string") -> Callable[[Col
     return run
 
 
+def let(col: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(col)`` with ``col`` computed once: expressions that use a value often don't multiply."""
+    return F.element_at(F.transform(F.array(col), fn), 1)
+
+
 @dataclass(frozen=True)
 class Sanitize:
     """Options of ``sanitize``; allow and block are sets of characters or, with ``regex``, patterns by character."""
@@ -54,7 +59,7 @@ class Sanitize:
     @property
     def native(self) -> bool:
         budget = self.max_bytes is not None or (self.max_chars is not None and (len(self.collapse or " ") != 1 or len(self.replacement) > 1 or self.collapse is None))
-        return not (self.form or budget or self.regex)
+        return not (budget or self.regex)
 
 
 def _quoted(s: str) -> str:
@@ -73,7 +78,7 @@ def sanitize(col: Column, o: Sanitize = Sanitize()) -> Column:
     """
     if not o.native:
         return per_text(lambda s: sanitize_text(s, o))(col)
-    x = col
+    x = normal_form(col, o.form) if o.form else col
     if o.trim in ("both", "start"):
         x = F.regexp_replace(x, f"^[{C.WS}]+", "")
     if o.trim in ("both", "end") and o.collapse is not None:
@@ -153,7 +158,8 @@ def is_ascii(col: Column) -> Column:
 
 def normal_form(col: Column, form: str = "NFC") -> Column:
     """A Unicode normal form; ASCII rows never reach Python as text."""
-    return F.coalesce(per_text(lambda s: unicodedata.normalize(form, s))(F.when(~is_ascii(col), col)), col)
+    fn = lambda s: s if unicodedata.is_normalized(form, s) else unicodedata.normalize(form, s)
+    return F.coalesce(per_text(fn)(F.when(~is_ascii(col), col)), col)
 
 
 def lower(col: Column) -> Column:

@@ -14,7 +14,7 @@ from limpid.functions import normalize as N
 from limpid.functions import text as T
 from limpid.operators import policy as P
 from limpid.operators import structured as S
-from limpid.operators.scrub import Action, ScrubPolicy, detect_all, findings_report, scrub, scrub_detailed
+from limpid.operators.scrub import Action, ScrubPolicy, findings_report, scrub, scrub_detailed
 from limpid.operators.validate import Field, validate
 from limpid.sources import codecs
 from limpid.streaming import apply_policy
@@ -25,7 +25,10 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table, dealt out anew if its files make fewer tasks than there are cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def _add(name: str, source: str, columns: Callable[[DataFrame], list] | None, sql: str | None, frame: Callable[[DataFrame], DataFrame] | None = None) -> None:
@@ -43,40 +46,48 @@ def _col(name: str, source: str, key: str, fn: Callable, sql: str | None, alias:
     _add(name, source, lambda df: [key, fn().alias(alias)], sql and f"SELECT {key}, {sql} AS {alias} FROM {source}")
 
 
-text, url = F.col("text"), F.col("url")
+def _text() -> F.Column:
+    return F.col("text")
+
+
 _trim = f"regexp_replace(text, '^[{C.WS}]+|[{C.WS}]+$', '', 'g')"
 _clean = f"regexp_replace(regexp_replace({_trim}, '[{C.WS}]+', ' ', 'g'), '[{C.CONTROLS}{C.INVISIBLE}]', '', 'g')"
 
 # Sanitise
-_col("sanitize_documents", "documents", "doc_id", lambda: T.sanitize(text), _clean)
+_col("sanitize_documents", "documents", "doc_id", lambda: T.sanitize(_text()), _clean)
 _col("sanitize_pages", "pages", "page_id", lambda: T.sanitize(F.col("html")), _clean.replace("text", "html"))
-_col("sanitize_separator", "documents", "doc_id", lambda: T.sanitize(text, T.Sanitize(collapse="-")), _clean.replace("' '", "'-'"))
-_col("sanitize_keep_space", "documents", "doc_id", lambda: T.sanitize(text, T.Sanitize(collapse=None)),
+_col("sanitize_separator", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(collapse="-")), _clean.replace("' '", "'-'"))
+_col("sanitize_keep_space", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(collapse=None)),
      f"regexp_replace(regexp_replace(regexp_replace(text, '^[{C.WS}]+', ''), '[{C.CONTROLS}{C.INVISIBLE}]', '', 'g'), '[{C.WS}]+$', '')")
-_col("sanitize_max_chars", "documents", "doc_id", lambda: T.sanitize(text, T.Sanitize(max_chars=100)), f"substring({_clean}, 1, 100)")
-_col("sanitize_allow", "documents", "doc_id", lambda: T.sanitize(text, T.Sanitize(allow="abcdefghijklmnopqrstuvwxyz")), f"regexp_replace({_clean}, '[^a-z ]', '', 'g')")
-_col("sanitize_block", "documents", "doc_id", lambda: T.sanitize(text, T.Sanitize(block="aeiou", replacement="*")), f"regexp_replace({_clean}, '[aeiou]', '*', 'g')")
-_col("sanitize_max_bytes", "documents", "doc_id", lambda: T.sanitize(text, T.Sanitize(max_bytes=64)), None)
-_col("sanitize_form_nfkc", "documents", "doc_id", lambda: T.sanitize(text, T.Sanitize(form="NFKC")), None)
-_col("sanitize_bytes", "documents", "doc_id", lambda: T.sanitize_bytes(F.encode(text, "UTF-8")), _clean)
-_add("utf8_lengths", "documents", lambda df: ["doc_id", F.char_length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), T.is_valid_utf8(F.encode(text, "UTF-8")).alias("valid")],
+_col("sanitize_max_chars", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(max_chars=100)), f"substring({_clean}, 1, 100)")
+_col("sanitize_allow", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(allow="abcdefghijklmnopqrstuvwxyz")), f"regexp_replace({_clean}, '[^a-z ]', '', 'g')")
+_col("sanitize_block", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(block="aeiou", replacement="*")), f"regexp_replace({_clean}, '[aeiou]', '*', 'g')")
+_col("sanitize_max_bytes", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(max_bytes=64)), None)
+_col("sanitize_form_nfkc", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(form="NFKC")), None)
+_col("sanitize_bytes", "documents", "doc_id", lambda: T.sanitize_bytes(F.encode(_text(), "UTF-8")), _clean)
+_add("utf8_lengths", "documents", lambda df: ["doc_id", F.char_length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), T.is_valid_utf8(F.encode(_text(), "UTF-8")).alias("valid")],
      "SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, true AS valid FROM documents")
 
 # Unicode and case
-_col("is_ascii", "documents", "doc_id", lambda: T.is_ascii(text), r"NOT regexp_matches(text, '[^\x00-\x7F]')")
-_col("lower", "documents", "doc_id", lambda: T.lower(text), "lower(text)")
-_col("upper", "documents", "doc_id", lambda: T.upper(text), "replace(upper(text), 'ẞ', 'SS')")
-_col("fold", "documents", "doc_id", lambda: T.fold(text), "CASE WHEN regexp_matches(text, '[ßİſK]') THEN replace(replace(replace(lower(text), 'ß', 'ss'), 'ſ', 's'), 'K', 'k') ELSE lower(text) END")
-_add("equal_fold", "documents", lambda df: ["doc_id", T.equal_fold(text, F.upper("text")).alias("value")], None)
-_col("normal_form_nfc", "documents", "doc_id", lambda: T.normal_form(text, "NFC"), "nfc_normalize(text)")
-_col("strip_diacritics", "documents", "doc_id", lambda: T.strip_diacritics(text), "strip_accents(text)")
+_col("is_ascii", "documents", "doc_id", lambda: T.is_ascii(_text()), r"NOT regexp_matches(text, '[^\x00-\x7F]')")
+_col("lower", "documents", "doc_id", lambda: T.lower(_text()), "lower(text)")
+_col("upper", "documents", "doc_id", lambda: T.upper(_text()), "replace(upper(text), 'ẞ', 'SS')")
+_col("fold", "documents", "doc_id", lambda: T.fold(_text()), "CASE WHEN regexp_matches(text, '[ßİſK]') THEN replace(replace(replace(lower(text), 'ß', 'ss'), 'ſ', 's'), 'K', 'k') ELSE lower(text) END")
+_add("equal_fold", "documents", lambda df: ["doc_id", T.equal_fold(_text(), F.upper("text")).alias("value")], None)
+_col("normal_form_nfc", "documents", "doc_id", lambda: T.normal_form(_text(), "NFC"), "nfc_normalize(text)")
+_col("strip_diacritics", "documents", "doc_id", lambda: T.strip_diacritics(_text()), "strip_accents(text)")
 
 # Normalise and coerce
-_col("normalize_case", "conversations", "conv_id", lambda: N.normalize_case(text), "lower(text)")
+_col("normalize_case", "conversations", "conv_id", lambda: N.normalize_case(_text()), "lower(text)")
 _ws = f"regexp_replace(text, '[{C.WS_NORMAL}]+', ' ', 'g')"
-_col("normalize_whitespace", "conversations", "conv_id", lambda: N.normalize_whitespace(text), f"regexp_replace(regexp_replace({_ws}, '^ ', ''), ' $', '')")
-_money = F.format_string("+00%s", F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
-_col("normalize_number", "customer", "c_custkey", lambda: N.normalize_number(F.when(F.col("c_acctbal") >= 0, _money)),
+_col("normalize_whitespace", "conversations", "conv_id", lambda: N.normalize_whitespace(_text()), f"regexp_replace(regexp_replace({_ws}, '^ ', ''), ' $', '')")
+
+
+def _money() -> F.Column:
+    return F.format_string("+00%s", F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
+
+
+_col("normalize_number", "customer", "c_custkey", lambda: N.normalize_number(F.when(F.col("c_acctbal") >= 0, _money())),
      r"CASE WHEN c_acctbal >= 0 THEN regexp_replace(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR), '0+$', ''), '\.$', '') END")
 _col("normalize_boolean", "orders", "o_orderkey", lambda: N.normalize_boolean(F.col("o_orderstatus")), "CASE WHEN o_orderstatus = 'F' THEN 'false' END")
 _col("normalize_date", "orders", "o_orderkey", lambda: N.normalize_date(F.date_format("o_orderdate", "MM/dd/yyyy")), "strftime(o_orderdate, '%Y-%m-%d')")
@@ -88,7 +99,7 @@ _col("normalize_uuid", "customer", "c_custkey", lambda: N.normalize_uuid(F.conca
      f"substr({_md5}, 1, 8) || '-' || substr({_md5}, 9, 4) || '-' || substr({_md5}, 13, 4) || '-' || substr({_md5}, 17, 4) || '-' || substr({_md5}, 21)")
 _col("normalize_phone", "customer", "c_custkey", lambda: N.normalize_phone(F.concat(F.lit("+1 (415) 555-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"))), "'+1415555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')")
 _add("normalize_phone_extension", "customer", lambda df: ["c_custkey", N.normalize_phone_extension(F.concat(F.lit("415-555-0132 ext "), F.col("c_custkey").cast("string")))["ext"].alias("value")], "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS value FROM customer")
-_col("canonical_string", "documents", "doc_id", lambda: N.canonical_string(text), f"lower(regexp_replace(regexp_replace(text, '^[{C.WS_TRIM}]+|[{C.WS_TRIM}]+$', '', 'g'), '[{C.WS_TRIM}]+', ' ', 'g'))")
+_col("canonical_string", "documents", "doc_id", lambda: N.canonical_string(_text()), f"lower(regexp_replace(regexp_replace(text, '^[{C.WS_TRIM}]+|[{C.WS_TRIM}]+$', '', 'g'), '[{C.WS_TRIM}]+', ' ', 'g'))")
 _col("to_integer", "orders", "o_orderkey", lambda: N.to_integer(F.concat(F.lit(" "), F.format_number(F.col("o_orderkey"), 0), F.lit(" "))), "CAST(o_orderkey AS BIGINT)")
 _col("to_integer_hex", "orders", "o_orderkey", lambda: N.to_integer(F.concat(F.lit("0x"), F.hex("o_orderkey"))), "CAST(o_orderkey AS BIGINT)")
 _col("to_float", "customer", "c_custkey", lambda: N.to_float(F.col("c_acctbal").cast("decimal(12,2)").cast("string")), "CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE)")
@@ -112,11 +123,11 @@ def _hmac_sql(column: str, key: str) -> str:
 _col("hmac_value", "customer", "c_custkey", lambda: T.hmac_value(F.col("c_name"), "k1"), _hmac_sql("c_name", "k1"))
 _col("tokenize", "customer", "c_custkey", lambda: T.tokenize(F.col("c_name")), f"'tok_' || left({_hmac_sql('c_name', T.DEFAULT_TOKEN_KEY)}, 16)")
 _add("token_vault", "customer", None, f"SELECT DISTINCT 'tok_' || left({_hmac_sql('c_mktsegment', T.DEFAULT_TOKEN_KEY)}, 16) AS token, c_mktsegment AS value FROM customer", lambda df: T.vault(df, "c_mktsegment"))
-_col("truncate", "documents", "doc_id", lambda: T.truncate(text, 20), "CASE WHEN length(text) > 20 THEN substr(text, 1, 20) || '…' ELSE text END")
-_col("truncate_bytes", "documents", "doc_id", lambda: T.truncate(text, 20, by_bytes=True), None)
-_col("replace_all", "documents", "doc_id", lambda: T.compile_replacements([("the", "THE"), ("", "x"), ("THE ", "_")])(text), "replace(replace(text, 'the', 'THE'), 'THE ', '_')")
-_col("replace_pattern", "documents", "doc_id", lambda: T.replace_pattern(text, "([aeiou])n", "<$1>"), r"regexp_replace(text, '([aeiou])n', '<\1>')")
-_col("filter_alnum", "pages", "page_id", lambda: T.filter_alnum(url, "-"), "regexp_replace(url, '[^A-Za-z0-9-]', '', 'g')")
+_col("truncate", "documents", "doc_id", lambda: T.truncate(_text(), 20), "CASE WHEN length(text) > 20 THEN substr(text, 1, 20) || '…' ELSE text END")
+_col("truncate_bytes", "documents", "doc_id", lambda: T.truncate(_text(), 20, by_bytes=True), None)
+_col("replace_all", "documents", "doc_id", lambda: T.compile_replacements([("the", "THE"), ("", "x"), ("THE ", "_")])(_text()), "replace(replace(text, 'the', 'THE'), 'THE ', '_')")
+_col("replace_pattern", "documents", "doc_id", lambda: T.replace_pattern(_text(), "([aeiou])n", "<$1>"), r"regexp_replace(text, '([aeiou])n', '<\1>')")
+_col("filter_alnum", "pages", "page_id", lambda: T.filter_alnum(F.col("url"), "-"), "regexp_replace(url, '[^A-Za-z0-9-]', '', 'g')")
 _col("filter_chars", "customer", "c_custkey", lambda: T.filter_chars(F.col("c_name"), lambda c: c.between("0", "9")), "regexp_replace(c_name, '[^0-9]', '', 'g')")
 _col("map_chars", "customer", "c_custkey", lambda: T.map_chars(F.col("c_name"), lambda c, k: F.when(k % 2 == 0, F.upper(c)).otherwise(c)),
      "list_reduce(list_transform(range(1, length(c_name) + 1), lambda k: CASE WHEN k % 2 = 1 THEN upper(c_name[k]) ELSE c_name[k] END), lambda a, b: a || b)")
@@ -126,8 +137,8 @@ _col("null_if_empty", "orders", "o_orderkey", lambda: T.null_if_empty(F.translat
 # Detection: pattern types are native and comparable; the whole engine is tested against fixtures
 for _kind in ("email", "ipv4", "uuid", "mac"):
     _p = D.PATTERNS[_kind].replace("'", "''")
-    _col(f"detect_{_kind}", "documents", "doc_id", lambda k=_kind: F.array_join(D.extract(text, k), ","), f"array_to_string(regexp_extract_all(text, '{_p}'), ',')")
-    _col(f"redact_{_kind}", "documents", "doc_id", lambda k=_kind: D.redact_native(text, k), f"regexp_replace(text, '{_p}', '[REDACTED]', 'g')")
+    _col(f"detect_{_kind}", "documents", "doc_id", lambda k=_kind: F.array_join(D.extract(_text(), k), ","), f"array_to_string(regexp_extract_all(text, '{_p}'), ',')")
+    _col(f"redact_{_kind}", "documents", "doc_id", lambda k=_kind: D.redact_native(_text(), k), f"regexp_replace(text, '{_p}', '[REDACTED]', 'g')")
 _digits = "lpad(CAST(c_custkey * 7919 AS VARCHAR), 9, '0')"
 _col("aba_check", "customer", "c_custkey", lambda: D.aba_check(F.lpad((F.col("c_custkey") * 7919).cast("string"), 9, "0")),
      f"(3 * (CAST({_digits}[1] AS INT) + CAST({_digits}[4] AS INT) + CAST({_digits}[7] AS INT)) + 7 * (CAST({_digits}[2] AS INT) + CAST({_digits}[5] AS INT) + CAST({_digits}[8] AS INT)) + CAST({_digits}[3] AS INT) + CAST({_digits}[6] AS INT) + CAST({_digits}[9] AS INT)) % 10 = 0 AND {_digits} <> '000000000'")
@@ -138,33 +149,43 @@ _iban = "'GB' || lpad(CAST(c_custkey % 98 AS VARCHAR), 2, '0') || 'NWBK' || lpad
 _col("iban_check", "customer", "c_custkey", lambda: D.iban_check(F.concat(F.lit("GB"), F.lpad((F.col("c_custkey") % 98).cast("string"), 2, "0"), F.lit("NWBK"), F.lpad(F.col("c_custkey").cast("string"), 14, "0"))),
      "CAST('23321120' || lpad(CAST(c_custkey AS VARCHAR), 14, '0') || '1611' || lpad(CAST(c_custkey % 98 AS VARCHAR), 2, '0') AS HUGEINT) % 97 = 1")
 for _level in ("strict", "balanced", "loose"):
-    _add(f"detect_all_{_level}", "documents", None, None, lambda df, lv=_level: df.select("doc_id", F.explode(D.detect(text, D.Detect.of(lv))).alias("f")).select("doc_id", "f.*"))
-_add("detect_secrets", "documents", None, None, lambda df: df.select("doc_id", F.explode(D.detect(text, D.Detect.of(pii=False))).alias("f")).select("doc_id", "f.*"))
+    _add(f"detect_all_{_level}", "documents", None, None, lambda df, lv=_level: df.select("doc_id", F.explode(D.detect(_text(), D.Detect.of(lv))).alias("f")).select("doc_id", "f.*"))
+_add("detect_secrets", "documents", None, None, lambda df: df.select("doc_id", F.explode(D.detect(_text(), D.Detect.of(pii=False))).alias("f")).select("doc_id", "f.*"))
 _add("findings_report", "documents", None, None, lambda df: findings_report(df, "text"))
 _add("emails_by_source_rollup", "documents", None,
      f"SELECT source, lang, CAST(sum(len(regexp_extract_all(text, '{D.PATTERNS['email']}'))) AS BIGINT) AS emails, count(*) AS docs FROM documents GROUP BY ROLLUP (source, lang)",
-     lambda df: df.select("source", "lang", F.size(D.extract(text, "email")).alias("n")).rollup("source", "lang").agg(F.sum("n").alias("emails"), F.count("*").alias("docs")))
+     lambda df: df.select("source", "lang", F.size(D.extract(_text(), "email")).alias("n")).rollup("source", "lang").agg(F.sum("n").alias("emails"), F.count("*").alias("docs")))
 
 # Scrubbing
-_col("scrub_documents", "documents", "doc_id", lambda: scrub(text), None)
-_add("scrub_detailed", "documents", lambda df: ["doc_id", scrub_detailed(text).alias("r")], None, lambda df: df.select("doc_id", scrub_detailed(text).alias("r")).select("doc_id", "r.text", F.size("r.findings").alias("n"), "r.redactedCount"))
+_col("scrub_documents", "documents", "doc_id", lambda: scrub(_text()), None)
+_add("scrub_detailed", "documents", lambda df: ["doc_id", scrub_detailed(_text()).alias("r")], None, lambda df: df.select("doc_id", scrub_detailed(_text()).alias("r")).select("doc_id", "r.text", F.size("r.findings").alias("n"), "r.redactedCount"))
 for _name in ("mask", "hash", "tokenize", "truncate", "drop", "keep"):
-    _col(f"scrub_{_name}", "documents", "doc_id", lambda a=_name: scrub(text, ScrubPolicy(default=Action(a))), None)
+    _col(f"scrub_{_name}", "documents", "doc_id", lambda a=_name: scrub(_text(), ScrubPolicy(default=Action(a))), None)
 _only_email = {k: Action(enabled=False) for k in (*D.PII_TYPES, *D.SECRET_TYPES) if k != "email"}
-_col("scrub_email_only", "documents", "doc_id", lambda: scrub(text, ScrubPolicy(types=_only_email)), f"regexp_replace(text, '{D.PATTERNS['email']}', '[REDACTED]', 'g')")
-_col("scrub_mixed_levels", "documents", "doc_id", lambda: scrub(text, ScrubPolicy(types={"phone": Action(level="strict"), "license": Action(level="loose"), "card": Action("hmac", key="k")})), None)
+_col("scrub_email_only", "documents", "doc_id", lambda: scrub(_text(), ScrubPolicy(types=_only_email)), f"regexp_replace(text, '{D.PATTERNS['email']}', '[REDACTED]', 'g')")
+_col("scrub_mixed_levels", "documents", "doc_id", lambda: scrub(_text(), ScrubPolicy(types={"phone": Action(level="strict"), "license": Action(level="loose"), "card": Action("hmac", key="k")})), None)
 
 # Structured data
 _json = S.Structured({"k": S.Rule(drop=True)})
 _col("process_json_identity", "events", "event_id", lambda: S.process_json(F.col("props"), S.Structured()), "replace(props, ': ', ':')")
 _col("process_json_drop", "events", "event_id", lambda: S.process_json(F.col("props"), _json), "'{}'")
-_kv = F.concat(F.lit("id="), F.col("c_custkey").cast("string"), F.lit(" secret="), F.col("c_mktsegment"), F.lit(" plain"))
-_col("kv_drop", "customer", "c_custkey", lambda: codecs.kv_drop(_kv, ["secret"]), "'id=' || c_custkey || ' plain'")
-_col("process_kv", "customer", "c_custkey", lambda: S.process_kv(_kv, S.Structured({"secret": S.Rule(case="lower")})), "'id=' || c_custkey || ' secret=' || lower(c_mktsegment) || ' plain'")
+
+
+def _kv() -> F.Column:
+    return F.concat(F.lit("id="), F.col("c_custkey").cast("string"), F.lit(" secret="), F.col("c_mktsegment"), F.lit(" plain"))
+
+
+_col("kv_drop", "customer", "c_custkey", lambda: codecs.kv_drop(_kv(), ["secret"]), "'id=' || c_custkey || ' plain'")
+_col("process_kv", "customer", "c_custkey", lambda: S.process_kv(_kv(), S.Structured({"secret": S.Rule(case="lower")})), "'id=' || c_custkey || ' secret=' || lower(c_mktsegment) || ' plain'")
 _col("csv_row", "part", "p_partkey", lambda: codecs.csv_row([F.col("p_name"), F.concat(F.col("p_brand"), F.lit(',"x"'))]), """p_name || ',"' || replace(p_brand || ',"x"', '"', '""') || '"'""")
-_csv = F.concat(F.lit("name,brand\n "), F.col("p_name"), F.lit(' ,"'), F.col("p_brand"), F.lit('"\n'))
-_col("process_csv", "part", "p_partkey", lambda: S.process_csv(_csv, S.Structured({"name": S.Rule(sanitize=T.Sanitize()), "brand": S.Rule(case="upper")})), "'name,brand' || chr(10) || trim(p_name) || ',' || upper(p_brand)")
-_add("parse_csv", "part", None, "SELECT p_partkey, p_brand AS value FROM part", lambda df: df.select("p_partkey", codecs.parse_csv_column(_csv)[1][1].alias("value")))
+
+
+def _csv() -> F.Column:
+    return F.concat(F.lit("name,brand\n "), F.col("p_name"), F.lit(' ,"'), F.col("p_brand"), F.lit('"\n'))
+
+
+_col("process_csv", "part", "p_partkey", lambda: S.process_csv(_csv(), S.Structured({"name": S.Rule(sanitize=T.Sanitize()), "brand": S.Rule(case="upper")})), "'name,brand' || chr(10) || trim(p_name) || ',' || upper(p_brand)")
+_add("parse_csv", "part", None, "SELECT p_partkey, p_brand AS value FROM part", lambda df: df.select("p_partkey", codecs.parse_csv_column(_csv())[1][1].alias("value")))
 _add("process_frame", "customer", None, "SELECT c_custkey, substr(c_name, 1, 1) || repeat('*', length(c_name) - 1) AS c_name, c_nationkey, lower(c_mktsegment) AS c_mktsegment FROM customer",
      lambda df: S.process_frame(df, S.Structured({"c_name": S.Rule(mask={"start": 1}), "c_acctbal": S.Rule(drop=True), "c_mktsegment": S.Rule(case="lower")})))
 
@@ -178,15 +199,15 @@ _add("validate", "customer", None, """
 _add("validation_report", "customer", None, None, lambda df: df.select(F.explode(validate(df, _schema)["issues"]).alias("i")).groupBy("i.path", "i.code").count())
 
 # Policies and profiles
-_col("policy_free_text", "documents", "doc_id", lambda: P.process_text(text, P.PROFILES["freeText"]), None)
-_col("policy_pipeline", "documents", "doc_id", lambda: P.process_text(text, P.Policy(case="lower", scrub=None, truncate=50)), f"substr(lower({_clean}), 1, 50)")
+_col("policy_free_text", "documents", "doc_id", lambda: P.process_text(_text(), P.PROFILES["freeText"]), None)
+_col("policy_pipeline", "documents", "doc_id", lambda: P.process_text(_text(), P.Policy(case="lower", scrub=None, truncate=50)), f"substr(lower({_clean}), 1, 50)")
 _profile_sql = {"url": f"substr({_clean}, 1, 2048)", "humanName": f"lower(substr({_clean}, 1, 100))", "email": f"lower(substr({_clean}, 1, 254))"}
 for _name in P.PROFILES:
-    _col(f"profile_{_name}", "conversations", "conv_id", lambda p=_name: P.process_text(text, P.PROFILES[p]), _profile_sql.get(_name))
+    _col(f"profile_{_name}", "conversations", "conv_id", lambda p=_name: P.process_text(_text(), P.PROFILES[p]), _profile_sql.get(_name))
 
 # Around the row-wise core: deduplication by canonical key, joins on hashed keys, streams
 _add("dedupe_canonical", "documents", None, f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {ORACLES['canonical_string'][len('SELECT doc_id, '):].split(' AS value')[0]} AS k FROM documents) GROUP BY k",
-     lambda df: df.select("doc_id", F.xxhash64(N.canonical_string(text)).alias("h"), F.md5(N.canonical_string(text)).alias("k")).groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies"))
+     lambda df: df.select("doc_id", F.xxhash64(N.canonical_string(_text())).alias("h"), F.md5(N.canonical_string(_text())).alias("k")).groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies"))
 
 
 def _hashed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
