@@ -212,12 +212,14 @@ def find_contaminated(
     of twice the longest item's words that overlap by half and cover the whole text. Items
     without words, and null and empty texts, are in nothing. Ids of documents are not used;
     an item without id is listed as null. An empty table of documents gives an empty result, one of items finds nothing.
+    Input columns with the names of added ones give way to them.
 
     The index goes over the documents in shards of about ``shard_items`` items, so what is
     broadcast does not grow with the benchmark.
     """
     import pyarrow as pa
 
+    docs = docs.drop("_items", "_score")
     sc = docs.sparkSession.sparkContext
     held = [sc.broadcast(index) for index in shards_of(items, item_id_col, item_text_col, shard_items)]
     names = docs.columns

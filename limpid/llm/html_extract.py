@@ -186,7 +186,7 @@ def host_votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def html_extraction(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_share: float = 0.3) -> DataFrame:
-    """``pages`` with two more columns: host, text.
+    """``pages`` with two more columns: _host, _text. Input columns with the names of added ones give way to them.
 
     The path with most votes of a host, ties by summed score and then by name, is used on all its
     pages if it has ``least_share`` of the votes; otherwise, and on pages without that
@@ -196,14 +196,15 @@ def html_extraction(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     """
     import pyarrow as pa
 
+    pages = pages.drop("_host", "_text")
     votes = host_votes(pages, url_col, html_col)
     won = staged(
-        votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("_path"), F.max("votes").alias("most"), F.sum("votes").alias("all"))
-        .filter(F.col("most") >= least_share * F.col("all")).select(F.col("host").alias("_host"), "_path"),
+        votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "score", "path")).alias("_limpid_path"), F.max("votes").alias("most"), F.sum("votes").alias("all"))
+        .filter(F.col("most") >= least_share * F.col("all")).select(F.col("host").alias("_limpid_host"), "_limpid_path"),
         "paths",
     )
     names = pages.columns
-    joined = pages.withColumn("_h", host_of(url_col)).join(won, F.col("_h") == F.col("_host"), "left").select(*[F.col(f"`{c}`") for c in names], "_h", "_path")
+    joined = pages.withColumn("_limpid_h", host_of(url_col)).join(won, F.col("_limpid_h") == F.col("_limpid_host"), "left").select(*[F.col(f"`{c}`") for c in names], "_limpid_h", "_limpid_path")
     at = names.index(html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

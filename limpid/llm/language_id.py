@@ -303,9 +303,11 @@ def language_id(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFram
     Reads the whole text and nothing else. Null texts and those without a letter give
     ``und`` and 0; languages that tie are decided by alphabet. Ids are not used, so
     null and repeated ones are carried through; an empty table gives an empty result.
+    Input columns with the names of added ones give way to them.
     """
     import pyarrow as pa
 
+    docs = docs.drop("lang_pred", "score")
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)

@@ -102,7 +102,7 @@ def line_dedup(
     id that holds them. Every row counts as a document, repeated ones too; of rows
     with the same largest id each keeps its lines. Null ids are below all others; a
     key that only rows without id hold loses nothing. Null and empty text have one
-    empty line and become empty. An empty table gives an empty result.
+    empty line and become empty. An empty table gives an empty result. Input columns with the names of added ones give way to them.
 
     Filters of ``max_filter_bits`` / 8 bytes at most are broadcast; on larger inputs the filter suspects more
     keys, which then shuffle, and the result stays exact. The confirmed keys are
@@ -111,7 +111,7 @@ def line_dedup(
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("_n_lines", "_n_dropped")
     id_name, text_name = f"`{id_col}`", f"`{text_col}`"
     narrow = docs.select(F.col(id_name).cast("long").alias("i"), F.coalesce(F.col(text_name), F.lit("")).alias("t"))
     filter_bits, shards = sized(narrow, "t", 4, max_filter_bits)
@@ -183,11 +183,11 @@ def line_dedup(
         suspects.join(confirmed, "key")
         .filter(F.col("keep").isNotNull() & ~F.col("i").eqNullSafe(F.col("keep")))
         .groupBy("row")
-        .agg(F.collect_set("key").alias("_drop"))  # at most the lines of one document
+        .agg(F.collect_set("key").alias("_limpid_drop"))  # at most the lines of one document
     )
     row_of = F.udf(lambda i, t: row_key(i, t or ""), "binary", useArrow=True)
-    with_drops = docs.withColumn("_row_key", row_of(F.col(id_name).cast("long"), F.col(text_name))).join(
-        lost.withColumnRenamed("row", "_row_key"), "_row_key", "left"
+    with_drops = docs.withColumn("_limpid_row", row_of(F.col(id_name).cast("long"), F.col(text_name))).join(
+        lost.withColumnRenamed("row", "_limpid_row"), "_limpid_row", "left"
     )
 
     def apply_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,4 +195,4 @@ def line_dedup(
             drops = b.column(len(names)).to_pylist()
             yield written(b, [rewrite(t or "", set(d or ()), min_chars) for t, d in zip(b.column(at_text).to_pylist(), drops)])
 
-    return with_drops.select(*[F.col(f"`{c}`") for c in names], "_drop").mapInArrow(apply_joined, out_schema)
+    return with_drops.select(*[F.col(f"`{c}`") for c in names], "_limpid_drop").mapInArrow(apply_joined, out_schema)

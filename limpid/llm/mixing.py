@@ -72,17 +72,19 @@ def mix_sources(
     start at or beyond its share, so it overshoots by less than one document. Blocks hold about ``block_tokens`` tokens, each
     in the target proportions. A null source is a source of its own; rows without tokens are never drawn
     (null or empty text, white space only); null and repeated ids are rows like others. An empty table gives an empty result.
+    Input columns with the names of added ones give way to them.
 
     A document's place in its stream is a prefix sum in two steps: over buckets of about
     ``bucket_docs`` documents of its source, then within its bucket, so no source meets in one task.
     """
+    docs = docs.drop("_tokens", "_weight", "_epoch", "_block", "_order")
     names = docs.columns
     own = [F.col(f"`{c}`") for c in names]
     key = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit(""))
     rank = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), 1)
-    counted = docs.select(*own, token_count(F.col(f"`{text_col}`")).alias("_tokens"), key.alias("_source"), rank.alias("_rank")).filter("_tokens > 0")
-    narrow = staged(counted.select("_source", "_tokens", "_rank"), "tokens")
-    sizes = staged(source_tokens(narrow, "_source", "_tokens"), "sources")
+    counted = docs.select(*own, token_count(F.col(f"`{text_col}`")).alias("_tokens"), key.alias("_limpid_source"), rank.alias("_limpid_rank")).filter("_tokens > 0")
+    narrow = staged(counted.select("_limpid_source", "_tokens", "_limpid_rank"), "tokens")
+    sizes = staged(source_tokens(narrow, "_limpid_source", "_tokens"), "sources")
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
     budget = budget or total
     if total:
@@ -92,24 +94,24 @@ def mix_sources(
         exponent, norm = 1.0, 1.0
     blocks = max(1, budget // block_tokens)
     goals = sizes.select(
-        F.col("source").alias("_source"),
-        F.col("tokens").alias("_size"),
-        F.ceil(F.col("docs") / bucket_docs).alias("_buckets"),
+        F.col("source").alias("_limpid_source"),
+        F.col("tokens").alias("_limpid_size"),
+        F.ceil(F.col("docs") / bucket_docs).alias("_limpid_buckets"),
         (F.pow(F.col("tokens") / max(1, total), F.lit(exponent)) / norm).alias("_weight"),
-    ).withColumn("_goal", F.col("_weight") * budget)
+    ).withColumn("_limpid_goal", F.col("_weight") * budget)
     goals = staged(goals, "goals")
-    bucket = F.floor(F.col("_rank") / F.lit(float(1 << 63)) * F.col("_buckets")).cast("long").alias("_bucket")
+    bucket = F.floor(F.col("_limpid_rank") / F.lit(float(1 << 63)) * F.col("_limpid_buckets")).cast("long").alias("_limpid_bucket")
     # sums by bucket: one row for each bucket_docs documents; the running sum over them goes by source
-    sums = narrow.join(goals, "_source").select("_source", bucket, "_tokens").groupBy("_source", "_bucket").agg(F.sum("_tokens").alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)))
-    before = staged(before.join(goals, "_source").select("_source", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"), "_size", "_weight", "_goal"), "buckets")
-    placed = counted.join(goals.select("_source", "_buckets"), "_source").select(*own, "_tokens", "_source", "_rank", bucket)
-    placed = placed.join(before, ["_source", "_bucket"])
-    within = F.sum("_tokens").over(W.partitionBy("_source", "_bucket").orderBy("_rank").rowsBetween(W.unboundedPreceding, -1))
-    start = placed.withColumn("_start", F.col("_before") + F.coalesce(within, F.lit(0)))
-    times = F.ceil((F.col("_goal") - F.col("_start")) / F.col("_size"))
-    drawn = start.filter(F.col("_start") < F.col("_goal")).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times.cast("long") - 1)))
-    place = (F.col("_start") + F.col("_epoch") * F.col("_size")) / F.col("_goal")
+    sums = narrow.join(goals, "_limpid_source").select("_limpid_source", bucket, "_tokens").groupBy("_limpid_source", "_limpid_bucket").agg(F.sum("_tokens").alias("_limpid_sum"))
+    before = sums.withColumn("_limpid_before", F.sum("_limpid_sum").over(W.partitionBy("_limpid_source").orderBy("_limpid_bucket").rowsBetween(W.unboundedPreceding, -1)))
+    before = staged(before.join(goals, "_limpid_source").select("_limpid_source", "_limpid_bucket", F.coalesce("_limpid_before", F.lit(0)).alias("_limpid_before"), "_limpid_size", "_weight", "_limpid_goal"), "buckets")
+    placed = counted.join(goals.select("_limpid_source", "_limpid_buckets"), "_limpid_source").select(*own, "_tokens", "_limpid_source", "_limpid_rank", bucket)
+    placed = placed.join(before, ["_limpid_source", "_limpid_bucket"])
+    within = F.sum("_tokens").over(W.partitionBy("_limpid_source", "_limpid_bucket").orderBy("_limpid_rank").rowsBetween(W.unboundedPreceding, -1))
+    start = placed.withColumn("_limpid_start", F.col("_limpid_before") + F.coalesce(within, F.lit(0)))
+    times = F.ceil((F.col("_limpid_goal") - F.col("_limpid_start")) / F.col("_limpid_size"))
+    drawn = start.filter(F.col("_limpid_start") < F.col("_limpid_goal")).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times.cast("long") - 1)))
+    place = (F.col("_limpid_start") + F.col("_epoch") * F.col("_limpid_size")) / F.col("_limpid_goal")
     block = F.least(F.floor(place * blocks), F.lit(blocks - 1)).cast("long")
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_rank")), 1)
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_epoch"), F.col("_limpid_rank")), 1)
     return drawn.select(*own, "_tokens", "_weight", "_epoch", block.alias("_block"), order.alias("_order"))

@@ -147,9 +147,11 @@ def score_quality(docs: DataFrame, model: Ordinal, text_col: str = "text") -> Da
 
     Reads the whole text. A null or empty text has no feature and gets what the thresholds
     alone say. Ids are not used, so null and repeated ones are carried through; an empty table gives an empty result.
+    Input columns with the names of added ones give way to them.
     """
     import pyarrow as pa
 
+    docs = docs.drop("expected_grade", "tail_probability")
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
