@@ -46,6 +46,26 @@ def normalize_number(col: Column) -> Column:
     return F.when(col.isNotNull(), T.let(plain, _canonical_number))
 
 
+def number_text(raw: str) -> str | None:
+    """``normalize_number`` of one Python string."""
+    s = T.trim_text(raw)
+    if len(s) > 64:
+        return None
+    s = re.sub("[ '\u2019\u00a0\u2009]", "", s)
+    dot, comma = s.rfind("."), s.rfind(",")
+    if dot >= 0 and comma > dot:
+        s = s.replace(".", "").replace(",", ".")
+    else:
+        s = s.replace(",", "" if dot >= 0 and comma >= 0 else ".")
+    m = re.fullmatch(r"([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?)([0-9]+))?", s)
+    if not m or not (m[2] or m[3]):
+        return None
+    fraction = (m[3] or "").rstrip("0")
+    body = (m[2].lstrip("0") or ("0" if m[2] else "")) + ("." + fraction if fraction else "") or "0"
+    power = f"e{'-' if m[4] == '-' else ''}{m[5].lstrip('0') or '0'}" if m[5] else ""
+    return ("-" if m[1] == "-" and re.search("[1-9]", m[2] + fraction) else "") + body + power
+
+
 def _one_mark(x: Column) -> Column:
     """The text with a point as its only mark."""
     dot, comma = F.locate(".", F.reverse(x)), F.locate(",", F.reverse(x))
@@ -121,8 +141,35 @@ def format_date(found: tuple[datetime, bool] | None, output: str = "iso") -> str
     return at.strftime("%Y-%m-%d") if only or output == "date" else at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
 
 
+def _is_whole(col: Column) -> Column:
+    return F.typeof(col).isin("tinyint", "smallint", "int", "bigint")
+
+
+def _is_real(col: Column) -> Column:
+    return F.typeof(col).rlike("^(float|double|decimal)")
+
+
+def _show_millis(ms: Column, output: str) -> Column:
+    """Milliseconds since 1970 as text, in UTC whatever the session's zone."""
+    if output in ("epoch-ms", "epoch-s"):
+        return (ms if output == "epoch-ms" else F.floor(ms / 1000)).cast("string")
+    day = F.date_from_unix_date(F.floor(ms / 86_400_000).cast("int")).cast("string")
+    if output == "date":
+        return day
+    t = F.pmod(ms, F.lit(86_400_000))
+    parts = [F.floor(t / 3_600_000), F.floor(t / 60_000) % 60, F.floor(t / 1000) % 60, t % 1000]
+    return F.concat(day, F.lit("T"), F.format_string("%02d:%02d:%02d.%03dZ", *parts))
+
+
 def normalize_date(col: Column, output: str = "iso") -> Column:
-    return T.per_text(lambda s: format_date(parse_date(s), output))(F.when(col.rlike(r"\d"), col))
+    """Text in one of the known shapes, or a number: below 1e12 seconds since 1970, else milliseconds."""
+    s = col.cast("string")
+    n = s.try_cast("double")
+    ms = F.when(n < 1e12, n * 1000).otherwise(n)
+    ms = F.when(ms.between(-62_167_219_200_000, 253_402_300_799_999), ms.cast("bigint"))
+    number = _is_whole(col) | _is_real(col)
+    text = T.per_text(lambda x: format_date(parse_date(x), output))(F.when(~number & s.rlike(r"\d"), s))
+    return F.when(number, _show_millis(ms, output)).otherwise(text)
 
 
 def normalize_identifier(col: Column, separator: str = "-", case: str | None = "lower", diacritics: bool = True, max_length: int | None = None) -> Column:
@@ -161,6 +208,16 @@ def normalize_phone_extension(col: Column, default_prefix: str | None = None) ->
     return F.when(number.isNotNull(), F.struct(number.alias("number"), F.when(has, F.regexp_extract(col, shape, 2)).alias("ext")))
 
 
+def phone_text(raw: str) -> str | None:
+    """``normalize_phone`` of one Python string."""
+    s = T.trim_text(raw)
+    digits = re.sub("[^0-9]", "", s)
+    number = digits[2:] if s.startswith("00") else digits
+    if len(s) > 40 or not re.fullmatch(r"\+?[0-9 .()/-]+", s) or not 7 <= len(number) <= 15:
+        return None
+    return ("+" if s.startswith(("+", "00")) else "") + number
+
+
 def canonical_string(col: Column, case: str | None = "lower") -> Column:
     """A key for deduplication: NFKC, trimmed, single spaces, lower case."""
     x = F.regexp_replace(T.js_trim(T.normal_form(col, "NFKC")), f"[{C.WS_TRIM}]+", " ")
@@ -168,27 +225,54 @@ def canonical_string(col: Column, case: str | None = "lower") -> Column:
 
 
 def to_integer(col: Column, policy: str = "lenient", low: int | None = None, high: int | None = None, base: int = 10) -> Column:
+    """Text or a typed value: booleans are 1 and 0, numbers must be whole."""
     s = T.js_trim(col.cast("string"))
+    number = col.cast("string").try_cast("double")
+    typed = F.when(F.typeof(col) == "boolean", (col.cast("string") == "true").cast("bigint")).when(
+        _is_real(col), F.when(F.floor(number).cast("double") == number, number.try_cast("bigint"))
+    )
     x = s if policy == "strict" else F.regexp_replace(s, f"[_,'\\x{{2019}}{C.WS_TRIM}]", "")
     hexed = F.when(x.rlike(r"^0x[0-9A-Fa-f]{1,13}\z"), F.conv(F.substring(x, 3, 64), 16, 10).try_cast("bigint"))
-    plain = F.when(x.rlike(r"^-?\d+\z"), x.try_cast("bigint")) if base != 16 else F.lit(None).cast("bigint")
-    v = F.coalesce(hexed, plain) if policy != "strict" or base == 16 else plain
-    good = v.between(-SAFE, SAFE) & (F.length(s) <= 32)
+    if base == 16 and policy != "strict":
+        hexed = F.coalesce(hexed, F.when(x.rlike(r"^-0x[0-9A-Fa-f]{1,13}\z"), -F.conv(F.substring(x, 4, 64), 16, 10).try_cast("bigint")))
+    sign = "-?" if policy == "strict" else "[+-]?"
+    plain = F.when(x.rlike(rf"^{sign}\d+\z"), x.try_cast("bigint")) if base != 16 else F.lit(None).cast("bigint")
+    v = F.coalesce(typed, F.coalesce(hexed, plain) if policy != "strict" else plain)
+    good = v.between(-SAFE, SAFE) & ((F.typeof(col) != "string") | (F.length(s) <= 32))
     good = good & (v >= low) if low is not None else good
     return F.when(good & (v <= high) if high is not None else good, v)
 
 
-def to_float(col: Column, low: float | None = None, high: float | None = None) -> Column:
+def integer_text(raw: str) -> str | None:
+    """``to_integer`` of one Python string, leniently, as text."""
+    s = T.trim_text(raw)
+    x = re.sub(rf"[_,'\u2019{C.to_python(C.WS_TRIM)}]", "", s)
+    if len(s) > 32 or not (m := re.fullmatch("(0x[0-9A-Fa-f]{1,13})|[+-]?[0-9]+", x)):
+        return None
+    v = int(x, 16 if m[1] else 10)
+    return str(v) if abs(v) <= SAFE else None
+
+
+def to_float(col: Column, low: float | None = None, high: float | None = None, allow_nan: bool = False, allow_infinity: bool = False) -> Column:
+    """Text or a typed value: booleans are 1 and 0 in any range. Only numbers, not text, may be NaN or infinite, if allowed."""
+
     def checked(v: Column) -> Column:
         good = F.abs(v) < float("inf")
         good = good & (v >= low) if low is not None else good
         return F.when(good & (v <= high) if high is not None else good, v)
 
-    return T.let(normalize_number(col.cast("string")).try_cast("double"), checked)
+    number = col.cast("string").try_cast("double")
+    odd = (F.isnan(number) & F.lit(allow_nan)) | ((F.abs(number) == float("inf")) & F.lit(allow_infinity))
+    typed = F.when(F.typeof(col) == "boolean", (col.cast("string") == "true").cast("double")).when(_is_real(col) & odd, number)
+    return F.coalesce(typed, T.let(normalize_number(col.cast("string")).try_cast("double"), checked))
 
 
-def to_boolean(col: Column, output: str = "boolean") -> Column:
-    return normalize_boolean(col.cast("string"), output)
+def to_boolean(col: Column, output: str = "boolean", policy: str = "lenient", true_words=TRUE_WORDS, false_words=FALSE_WORDS) -> Column:
+    """Text by its words; a number is true unless 0, or under ``strict`` must be 0 or 1."""
+    number = col.cast("string").try_cast("double")
+    typed = F.when(number == 0, F.lit(False)).when((number == 1) | (F.lit(policy != "strict") & number.isNotNull()), F.lit(True))
+    x = F.when(_is_whole(col) | _is_real(col), typed).otherwise(normalize_boolean(col.cast("string"), "boolean", true_words, false_words))
+    return x if output == "boolean" else x.cast("int") if output == "number" else x.cast("string")
 
 
 def to_date(col: Column, output: str = "date-obj") -> Column:
@@ -197,24 +281,27 @@ def to_date(col: Column, output: str = "date-obj") -> Column:
     return F.timestamp_millis(normalize_date(col, "epoch-ms").try_cast("bigint"))
 
 
-def number_to_string(col: Column) -> Column:
+def number_show(x: float | None) -> str | None:
     """A double's shortest decimal text; null if not finite."""
+    if x is None or not abs(x) < float("inf"):
+        return None
+    if x == 0:
+        return "0"
+    r = repr(float(x))
+    mantissa, _, power = r.partition("e")
+    mantissa = mantissa.removesuffix(".0")
+    if not power:
+        return mantissa
+    p = int(power)
+    return format(Decimal(r), "f") if -7 < p < 0 else format(int(float(x))) if 0 <= p < 21 else f"{mantissa}e{p:+d}"
 
-    def show(x: float | None) -> str | None:
-        if x is None:
-            return None
-        r = repr(float(x))
-        mantissa, _, power = r.partition("e")
-        mantissa = mantissa.removesuffix(".0")
-        if not power:
-            return mantissa
-        p = int(power)
-        return format(Decimal(r), "f") if -7 < p < 0 else format(int(float(x))) if 0 <= p < 21 else f"{mantissa}e{p:+d}"
 
+def number_to_string(col: Column) -> Column:
+    """``number_show`` of a column; only numbers with an exponent go through Python."""
     odd = col.cast("string").contains("E")
     plain = F.when(col == 0, F.lit("0")).otherwise(F.regexp_replace(col.cast("string"), r"\.0\z", ""))
     finite = ~F.isnan(col) & (F.abs(col) < float("inf"))
-    return F.when(finite, F.coalesce(F.udf(show, "string", useArrow=True)(F.when(odd & finite, col)), plain))
+    return F.when(finite, F.coalesce(F.udf(number_show, "string", useArrow=True)(F.when(odd & finite, col)), plain))
 
 
 def coerce_with_fallback(col: Column, fallback: bool | int | float | str) -> Column:

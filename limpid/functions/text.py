@@ -22,6 +22,7 @@ _WS = re.compile(f"[{C.to_python(C.WS)}]")
 _REMOVED = re.compile(f"[{C.to_python(C.CONTROLS)}]")
 _HIDDEN = re.compile(f"[{C.to_python(C.INVISIBLE)}]")
 _BIDI = re.compile(f"[{C.to_python(C.BIDI)}]")
+_EDGES = re.compile(rf"^[{C.to_python(C.WS_TRIM)}]+|[{C.to_python(C.WS_TRIM)}]+\Z")
 
 
 def per_text(fn: Callable[[str], object], kind: str = "string") -> Callable[[Column], Column]:
@@ -177,6 +178,12 @@ def fold(col: Column) -> Column:
     return F.when(col.rlike("[ßİſ\\x{212A}]"), spelled).otherwise(low)
 
 
+def fold_text(s: str) -> str:
+    """``fold`` of one Python string."""
+    low = s.lower()
+    return low.replace("ß", "ss").replace("ſ", "s").replace("\u212a", "k") if re.search("[ßİſ\u212a]", s) else low
+
+
 def equal_fold(a: Column, b: Column) -> Column:
     return fold(a) == fold(b)
 
@@ -194,6 +201,11 @@ def js_trim(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, f"^[{C.WS_TRIM}]+", ""), f"[{C.WS_TRIM}]+\\z", "")
 
 
+def trim_text(s: str) -> str:
+    """``js_trim`` of one Python string."""
+    return _EDGES.sub("", s)
+
+
 def replace_all(col: Column, what: str, to: str) -> Column:
     return F.replace(col, F.lit(what), F.lit(to)) if what else col
 

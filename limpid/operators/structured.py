@@ -9,16 +9,18 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from limpid.functions import text as T
-from limpid.functions.normalize import FALSE_WORDS, TRUE_WORDS
+from limpid.functions import normalize as N
 from limpid.operators.policy import COERCIONS
 from limpid.operators.scrub import ScrubPolicy, scrub, scrub_text
+from limpid.operators.validate import Field, validate
 from limpid.sources.codecs import parse_csv, stringify_csv
 
 
@@ -35,6 +37,8 @@ class Rule:
     mask: dict | None = None
     drop: bool = False
     default: str | None = None
+    nested: Structured | None = None  # rules of its own for an object's or array's inside
+    validate: Field | None = None
 
 
 @dataclass(frozen=True)
@@ -89,6 +93,8 @@ def _walk(col: Column, dt: S.DataType, policy: Structured, path: str, key: str,
     rule = find_rule(policy, path, key) if path else None
     if rule and rule.drop:
         return None
+    if rule and rule.nested and isinstance(dt, (S.StructType, S.ArrayType, S.MapType)):
+        return _walk(col, dt, rule.nested, "", "", 0)
     if isinstance(dt, S.BinaryType):
         return _walk(T.decode_bytes(col), S.StringType(), policy, path, key, depth)
     if isinstance(dt, S.StringType):
@@ -107,15 +113,32 @@ def _walk(col: Column, dt: S.DataType, policy: Structured, path: str, key: str,
     return col
 
 
+def walk(col: Column, dt: S.DataType, policy: Structured) -> Column | None:
+    """A struct, array or map column as a record of its own; None if nothing of it stays."""
+    return _walk(col, dt, policy, "", "", 0)
+
+
 def process_frame(df: DataFrame, policy: Structured) -> DataFrame:
     """Every column by its rule; dropped ones go. Structs keep their shape, without dropped fields."""
     cols = [(f.name, _walk(F.col(f"`{f.name}`"), f.dataType, policy, f.name, f.name, 1)) for f in df.schema]
     return df.select(*[c.alias(n) for n, c in cols if c is not None])
 
 
-_ROWS: dict[str, Callable[[str], str | None]] = {
-    "boolean": lambda s: {**dict.fromkeys(TRUE_WORDS, "true"), **dict.fromkeys(FALSE_WORDS, "false")}.get(s.strip().lower()),
-    "integer": lambda s: str(int(re.sub("[_, ]", "", s))) if re.fullmatch(r"\s*-?[0-9][0-9_, ]*\s*", s) else None,
+def validate_record(df: DataFrame, policy: Structured) -> Column:
+    """STRUCT<ok, issues>: top-level columns by the field of their rule. A null counts as absent, so none is missed."""
+    rules = {c: find_rule(policy, c, c) for c in df.columns}
+    fields = {c: replace(r.validate, required=False, nullable=True) for c, r in rules.items() if r and r.validate}
+    return validate(df, fields)
+
+
+_WORDS = {**dict.fromkeys(N.TRUE_WORDS, "true"), **dict.fromkeys(N.FALSE_WORDS, "false")}
+#: The coercions of ``COERCIONS`` for one Python string.
+COERCE_TEXT: dict[str, Callable[[str], str | None]] = {
+    "boolean": lambda s: _WORDS.get(T.trim_text(s).lower()),
+    "integer": N.integer_text,
+    "float": lambda s: None if (x := N.number_text(s)) is None else N.number_show(float(x)),
+    "date": lambda s: N.format_date(N.parse_date(s)),
+    "phone": N.phone_text,
 }
 
 
@@ -124,8 +147,8 @@ def apply_rule_text(s: str, rule: Rule) -> str:
     for a, b in rule.replacements:
         x = x.replace(a, b) if a else x
     x = T.sanitize_text(x, rule.sanitize) if rule.sanitize else x
-    x = {"lower": str.lower, "upper": str.upper, "fold": str.casefold}[rule.case](x) if rule.case else x
-    if rule.coerce in _ROWS and (v := _ROWS[rule.coerce](x)) is not None:
+    x = {"lower": str.lower, "upper": str.upper, "fold": T.fold_text}[rule.case](x) if rule.case else x
+    if rule.coerce and (v := COERCE_TEXT[rule.coerce](x)) is not None:
         return v
     x = scrub_text(x, rule.scrub)[0] if rule.scrub else x
     if rule.mask:
@@ -143,6 +166,8 @@ def process_value(v: object, policy: Structured, path: str = "", key: str = "",
     rule = find_rule(policy, path, key) if path else None
     if rule and rule.drop:
         return _DROP
+    if rule and rule.nested and isinstance(v, (dict, list)):
+        return process_value(v, rule.nested)
     if isinstance(v, str):
         if len(v) > policy.max_string:
             raise SanitizationError("too-large")
@@ -162,12 +187,23 @@ def process_value(v: object, policy: Structured, path: str = "", key: str = "",
     return v
 
 
+def _number(raw: str) -> int | float:
+    """A JSON number as a double would print it: whole ones without a fraction."""
+    x = float(raw)
+    return int(x) if abs(x) < 1e21 and x == int(x) else x
+
+
+def _no_constant(_: str) -> None:
+    raise ValueError("not JSON")
+
+
 def process_json_text(s: str, policy: Structured) -> str:
+    """Numbers are printed shortest, 1.0 as 1; one beyond a double's range becomes null."""
     if len(s) > 10_000_000:
         raise SanitizationError("too-large")
     try:
-        v = json.loads(s)
-    except ValueError:
+        v = json.loads(s, parse_float=lambda x: _number(x) if abs(float(x)) < float("inf") else None, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
         raise SanitizationError("invalid-json") from None
     out = process_value(v, policy)
     return json.dumps(None if out is _DROP else out, ensure_ascii=False, separators=(",", ":"))
@@ -187,6 +223,22 @@ def process_json(col: Column, policy: Structured, permissive: bool = True) -> Co
     return T.per_text(run)(col)
 
 
+def process_json_detailed(col: Column, policy: Structured) -> Column:
+    """STRUCT<text, error>: where a document is bad its text is null and ``error`` holds the code, never data."""
+
+    @F.pandas_udf("struct<text:string,error:string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            try:
+                rows.append((None if x is None else process_json_text(x, policy), None))
+            except SanitizationError as e:
+                rows.append((None, e.code))
+        return pd.DataFrame(rows, columns=["text", "error"], dtype=object)
+
+    return run(col)
+
+
 def process_csv_text(s: str, policy: Structured, delimiter: str = ",", header: bool = True, max_rows: int = 100_000) -> str:
     rows = parse_csv(s, delimiter)
     if len(rows) > max_rows:

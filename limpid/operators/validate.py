@@ -117,6 +117,11 @@ def validate(df: DataFrame, schema: dict[str, Field], no_unknown: bool = False,
     return F.struct((F.size(issues) == 0).alias("ok"), F.slice(issues, 1, max_issues).alias("issues"))
 
 
+def compile_validator(schema: dict[str, Field], **options) -> Callable[[DataFrame], Column]:
+    """``validate`` with its schema and options fixed."""
+    return lambda df: validate(df, schema, **options)
+
+
 def validate_value(col: Column, dt: T.DataType, f: Field) -> Column:
     issues = _checks(col, dt, f, F.lit("value"))
     return F.struct((F.size(issues) == 0).alias("ok"), issues.alias("issues"))

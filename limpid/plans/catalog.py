@@ -13,6 +13,7 @@ from limpid.functions import detect as D
 from limpid.functions import normalize as N
 from limpid.functions import text as T
 from limpid.operators import policy as P
+from limpid.operators.compiled import CompiledPolicy
 from limpid.operators import structured as S
 from limpid.operators.scrub import Action, ScrubPolicy, findings_report, scrub, scrub_detailed
 from limpid.operators.validate import Field, validate
@@ -102,6 +103,11 @@ _add("normalize_phone_extension", "customer", lambda df: ["c_custkey", N.normali
 _col("canonical_string", "documents", "doc_id", lambda: N.canonical_string(_text()), f"lower(regexp_replace(regexp_replace(text, '^[{C.WS_TRIM}]+|[{C.WS_TRIM}]+$', '', 'g'), '[{C.WS_TRIM}]+', ' ', 'g'))")
 _col("to_integer", "orders", "o_orderkey", lambda: N.to_integer(F.concat(F.lit(" "), F.format_number(F.col("o_orderkey"), 0), F.lit(" "))), "CAST(o_orderkey AS BIGINT)")
 _col("to_integer_hex", "orders", "o_orderkey", lambda: N.to_integer(F.concat(F.lit("0x"), F.hex("o_orderkey"))), "CAST(o_orderkey AS BIGINT)")
+_col("to_integer_typed", "part", "p_partkey", lambda: N.to_integer(F.floor(F.col("p_retailprice")).cast("double") + F.col("p_size") % 2 / 2), "CASE WHEN p_size % 2 = 0 THEN CAST(floor(p_retailprice) AS BIGINT) END")
+_col("to_boolean_number", "part", "p_partkey", lambda: N.to_boolean(F.col("p_size") - 1, "string"), "CASE WHEN p_size <> 1 THEN 'true' ELSE 'false' END")
+# a number under 1e12 is read as seconds, so milliseconds before September 2001 are out of range
+_col("normalize_date_number", "orders", "o_orderkey", lambda: N.normalize_date(F.unix_millis(F.col("o_orderdate").cast("timestamp")) / F.when(F.col("o_orderkey") % 2 == 0, 1000).otherwise(1)),
+     "CASE WHEN o_orderkey % 2 = 0 OR epoch_ms(o_orderdate) >= 1000000000000 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') END")
 _col("to_float", "customer", "c_custkey", lambda: N.to_float(F.col("c_acctbal").cast("decimal(12,2)").cast("string")), "CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS DOUBLE)")
 _col("to_boolean", "labels", "doc_id", lambda: N.to_boolean(F.col("quality")), "quality = 1")
 _col("to_date", "orders", "o_orderkey", lambda: N.to_date(F.date_format("o_orderdate", "dd.MM.yyyy")).cast("date"), "CAST(o_orderdate AS DATE)")
@@ -169,6 +175,8 @@ _col("scrub_mixed_levels", "documents", "doc_id", lambda: scrub(_text(), ScrubPo
 _json = S.Structured({"k": S.Rule(drop=True)})
 _col("process_json_identity", "events", "event_id", lambda: S.process_json(F.col("props"), S.Structured()), "replace(props, ': ', ':')")
 _col("process_json_drop", "events", "event_id", lambda: S.process_json(F.col("props"), _json), "'{}'")
+_add("process_json_detailed", "events", None, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN replace(props, ': ', ':') END AS value, CASE WHEN event_id % 2 <> 0 THEN 'invalid-json' END AS error FROM events",
+     lambda df: df.select("event_id", S.process_json_detailed(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat("props", F.lit("{"))), S.Structured()).alias("r")).select("event_id", F.col("r.text").alias("value"), "r.error"))
 
 
 def _kv() -> F.Column:
@@ -196,11 +204,18 @@ _add("validate", "customer", None, """
         SELECT c_custkey, CAST(c_custkey < 1 AS INT) AS a, CAST(length(c_name) < 5 OR length(c_name) > 40 AS INT) AS b, CAST(NOT regexp_matches(c_name, '^Customer') AS INT) AS c,
                CAST(c_acctbal < 0 OR c_acctbal > 9000 AS INT) AS d, CAST(c_mktsegment NOT IN ('BUILDING', 'MACHINERY') AS INT) AS e, CAST(c_nationkey > 20 AS INT) AS f FROM customer)""",
      lambda df: df.select("c_custkey", validate(df, _schema, cross=[("c_nationkey", "nation", F.col("c_nationkey") <= 20)]).alias("v")).select("c_custkey", F.size("v.issues").cast("long").alias("issues"), "v.ok"))
+_add("validate_record", "customer", None, "SELECT c_custkey, c_acctbal >= 0 AS ok FROM customer",
+     lambda df: df.select("c_custkey", S.validate_record(df, S.Structured({"c_acctbal": S.Rule(validate=Field("number", required=True, min=0))}))["ok"].alias("ok")))
+_add("process_frame_nested", "customer", None, "SELECT c_custkey, upper(c_mktsegment) AS segment, c_nationkey AS nation FROM customer",
+     lambda df: S.process_frame(df.select("c_custkey", F.struct(F.lower("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name")).alias("r")),
+                                S.Structured({"r": S.Rule(nested=S.Structured({"segment": S.Rule(case="upper"), "name": S.Rule(drop=True)}))})).select("c_custkey", "r.*"))
 _add("validation_report", "customer", None, None, lambda df: df.select(F.explode(validate(df, _schema)["issues"]).alias("i")).groupBy("i.path", "i.code").count())
 
 # Policies and profiles
 _col("policy_free_text", "documents", "doc_id", lambda: P.process_text(_text(), P.PROFILES["freeText"]), None)
 _col("policy_pipeline", "documents", "doc_id", lambda: P.process_text(_text(), P.Policy(case="lower", scrub=None, truncate=50)), f"substr(lower({_clean}), 1, 50)")
+_add("compiled_policy", "customer", None, "SELECT c_custkey, '[' || lower(c_name) || ']' AS who FROM customer",
+     lambda df: CompiledPolicy(P.Policy(case="lower", scrub=None)).process_value(df.select("c_custkey", F.concat(F.lit(" ["), F.col("c_name"), F.lit("]")).alias("who"))))
 _profile_sql = {"url": f"substr({_clean}, 1, 2048)", "humanName": f"lower(substr({_clean}, 1, 100))", "email": f"lower(substr({_clean}, 1, 254))"}
 for _name in P.PROFILES:
     _col(f"profile_{_name}", "conversations", "conv_id", lambda p=_name: P.process_text(_text(), P.PROFILES[p]), _profile_sql.get(_name))
