@@ -1,7 +1,7 @@
 """Main text of web pages by consensus paths of each host.
 
 Pass one scores the containers of every page and lets each page vote for the generalised tag-class path of
-its best. Spark counts the votes of each host. Pass two extracts every page again, by
+the whole article around its best. Spark counts the votes of each host. Pass two extracts every page again, by
 the path that won on its host.
 """
 
@@ -26,6 +26,8 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "td", "th", "tr", "table", "tbody", "aside", "header", "footer", "nav", "form", "center", "details", "dialog", "fieldset", "menu"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "caption", "thead", "tfoot", "hgroup", "summary", "address", "legend", "head", "hr"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+SENTENCE = 60  # characters from which a block counts as a sentence rather than a label
 DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head"}
 #: Words of class and id attributes of what is no article text.
 NOISE = re.compile(
@@ -37,10 +39,11 @@ NOISE = re.compile(
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "score")
+    __slots__ = ("tag", "path", "parent", "noise", "first", "last")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool):
-        self.tag, self.path, self.parent, self.noise, self.score = tag, path, parent, noise, 0.0
+    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, first: int = 0):
+        self.tag, self.path, self.parent, self.noise = tag, path, parent, noise
+        self.first, self.last = first, first  # its blocks are those from first up to last
 
 
 def _first(m: re.Match | None) -> str:
@@ -54,13 +57,14 @@ def _generalised(tag: str, attrs: str) -> tuple[str, str]:
     return step, f"{names} {_first(_ID.search(attrs))}" if attrs else ""
 
 
-def parse(html: str) -> list[tuple[Node, str, int]]:
-    """The text blocks in page order: (innermost container, text, its characters in links)."""
-    blocks: list[tuple[Node, str, int]] = []
+def parse(html: str) -> list[tuple[Node, str, int, bool]]:
+    """The text blocks in page order: (innermost container, text, its characters in links, whether a heading)."""
+    blocks: list[tuple[Node, str, int, bool]] = []
     root = Node("", "", None, False)
     stack: list[Node] = [root]
     text: list[str] = []
     linked = links = at = 0
+    heading = False
     size = len(html)
 
     def close() -> None:
@@ -68,10 +72,15 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                blocks.append((stack[-1], joined, linked))
+                blocks.append((stack[-1], joined, linked, heading))
             text.clear()
         linked = 0
 
+    def leave(k: int) -> None:
+        for n in stack[k:]:
+            n.last = len(blocks)
+        del stack[k:]
+
     while at < size:
         m = _TOKEN.search(html, at)
         start = m.start() if m else size
@@ -103,12 +112,13 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
         if tag not in BLOCKS:
             continue
         close()
+        heading = not closing and tag in HEADINGS
         if tag not in CONTAINERS and tag not in ("ul", "ol", "blockquote", "figure", "dl"):
             continue
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    leave(k)
                     break
             links = 0
         elif not m[0].endswith("/>"):
@@ -119,16 +129,46 @@ def parse(html: str) -> list[tuple[Node, str, int]]:
             noise = up.noise or tag in DROPPED or (tag == "header" and not in_article)
             if not noise and attrs and tag not in ("html", "body"):
                 noise = bool(NOISE.search(names) or _HIDDEN.search(attrs) or _ROLE.search(attrs))
-            stack.append(Node(tag, f"{up.path}/{step}", up, noise))
+            stack.append(Node(tag, f"{up.path}/{step}", up, noise, len(blocks)))
     close()
+    leave(0)
     return blocks
 
 
-def best_path(blocks: list[tuple[Node, str, int]]) -> tuple[str, float] | None:
-    """The path of the container with most text outside links: a block counts for its container,
-    and half for the one above."""
+def _sums(blocks: list[tuple[Node, str, int, bool]]) -> list[tuple[int, int, int]]:
+    """Running sums over blocks that are no noise: characters, those in links, headings and sentences."""
+    sums = [(0, 0, 0)]
+    for node, text, linked, heading in blocks:
+        size, links, texts = sums[-1]
+        sums.append(sums[-1] if node.noise else (size + len(text), links + linked, texts + (linked == 0 and (heading or len(text) >= SENTENCE))))
+    return sums
+
+
+def whole(sums: list[tuple[int, int, int]], core: Node) -> Node:
+    """The container of the whole article that ``core`` is a part of: the outermost article around it,
+    or else main, or else the highest container that adds a heading or a sentence, and not mostly links,
+    to what the one below holds."""
+    above, n = [core], core.parent
+    while n is not None and n.path:
+        above.append(n)
+        n = n.parent
+    for tag in ("article", "main"):
+        if around := [n for n in above if n.tag == tag and not n.noise]:
+            return around[-1]
+    top = below = core
+    for n in above[1:]:
+        size, links, texts = (d - c + b - a for a, b, c, d in zip(sums[n.first], sums[below.first], sums[below.last], sums[n.last]))
+        if texts and 3 * links <= size:
+            top = n
+        below = n
+    return top
+
+
+def best_path(blocks: list[tuple[Node, str, int, bool]]) -> tuple[str, float] | None:
+    """The path of the whole article around the container with most text outside links: a block counts
+    for its container, and half for the one above."""
     scores: dict[int, tuple[float, Node]] = {}
-    for node, text, linked in blocks:
+    for node, text, linked, _ in blocks:
         if node.noise:
             continue
         gain = len(text) - 2 * linked
@@ -143,20 +183,31 @@ def best_path(blocks: list[tuple[Node, str, int]]) -> tuple[str, float] | None:
     if not scores:
         return None
     score, node = max(scores.values(), key=lambda x: (x[0], -len(x[1].path), x[1].path))
-    return node.path, score
+    return whole(_sums(blocks), node).path, score
+
+
+def _under(node: Node, path: str) -> bool:
+    return node.path == path or node.path.startswith(path + "/")
 
 
-def extract(blocks: list[tuple[Node, str, int]], path: str | None) -> str:
-    """The blocks under the containers of that path, one a line; those of the page's own
-    best container if it has none of that path."""
+def extract(blocks: list[tuple[Node, str, int, bool]], path: str | None) -> str:
+    """The blocks of the whole articles around the containers of that path, one a line; those of the
+    page's own best container if it has none of that path."""
     for use in (path, "own"):
         if use == "own":
             own = best_path(blocks)
             use = own[0] if own else None
         if use is None:
             continue
-        below = use + "/"
-        kept = [t for n, t, _ in blocks if not n.noise and (n.path == use or n.path.startswith(below))]
+        cores: dict[int, Node] = {}
+        for n, *_ in blocks:
+            if not n.noise and _under(n, use):
+                while n.path != use:
+                    n = n.parent
+                cores[id(n)] = n
+        sums = _sums(blocks)
+        paths = {whole(sums, n).path for n in cores.values()}
+        kept = [b[1] for b in blocks if not b[0].noise and any(_under(b[0], p) for p in paths)]
         if kept:
             return "\n".join(kept)
     return ""

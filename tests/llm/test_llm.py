@@ -284,6 +284,20 @@ def test_html(spark):
     assert html_extract.html_extraction(pages.limit(0)).count() == 0
 
 
+def test_html_sections(spark):
+    body = "Long text of the body, with many words, " * 9
+    pages = {
+        1: f"<article><h1>T</h1><div class=lead><p>The lead.</p></div><div class=body><p>{body}</p></div></article><div><p>{'Teaser, below. ' * 9}</p></div>",
+        2: f"<div class=page><div class=title><h1>T</h1></div><div class=lead><p>The lead.</p></div><div class=body><p>{body}</p></div></div><div class=x><a>Link</a></div>",
+        3: f"<main><div class=title><h1>T</h1></div><section><p>The lead.</p></section><section class=b><div><div><p>{body}</p></div></div></section></main>",
+    }
+    rows = [(10 * h + k, f"http://h{h}.org/{k}", f"<body>{p}</body>") for h, p in pages.items() for k in range(3)]
+    rows += [(90 + k, "http://h2.org/bare", f"<body><div class=page><div class=body><p>{body}</p></div></div></body>") for k in range(5)]
+    got = {r["page_id"]: r["_text"] for r in html_extract.html_extraction(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, text in got.items():
+        assert text == (f"T\nThe lead.\n{body.strip()}" if k < 90 else body.strip()), k
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
