@@ -1,7 +1,7 @@
 """Secret scans with a worklist of decoded layers.
 
-A text is scanned; encoded runs in it (URL escapes, Unicode escapes, base64,
-compressed bytes inside base64) are decoded into new layers, which are scanned in turn until
+A text is scanned; what is encoded in it is decoded into new layers (URL and Unicode escapes in place
+in the whole text, base64 and compressed bytes inside it run by run), which are scanned in turn until
 no new layer appears. Every layer maps its characters to a span of the original text.
 """
 
@@ -28,8 +28,7 @@ _WORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_URL = re.compile(r"(?:[A-Za-z0-9_.~+/=:&?-]|%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U000[0-9A-Fa-f]{5})+")
+_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U000([0-9A-Fa-f]{5})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
@@ -57,6 +56,32 @@ class Layer:
         """The original's span of characters [start, end) of this layer."""
         return self._at(start)[0], self._at(max(start, end - 1))[1]
 
+    def part(self, start: int, end: int, to: int) -> list[tuple[int, int, int | None]]:
+        """The marks of characters [start, end) in a layer that holds them from ``to`` on."""
+        out = []
+        for k in range(bisect.bisect_right(self.marks, start, key=lambda m: m[0]) - 1, len(self.marks)):
+            at, first, last = self.marks[k]
+            if at >= end:
+                break
+            lo = max(at, start)
+            out.append((to + lo - start, first if last is not None else first + lo - at, last))
+        return out
+
+    def decoded(self, found: list[tuple[int, int, str]]) -> Layer:
+        """This layer with each [start, end) of ``found``, in order, replaced by its character."""
+        pieces, marks, size, at = [], [], 0, 0
+        for a, b, c in [*found, (len(self.text), len(self.text), "")]:
+            if a > at:
+                pieces.append(self.text[at:a])
+                marks += self.part(at, a, size)
+                size += a - at
+            if c:
+                pieces.append(c)
+                marks.append((size, *self.span(a, b)))
+                size += 1
+            at = b
+        return Layer("".join(pieces), marks)
+
     def _at(self, pos: int) -> tuple[int, int]:
         at, first, last = self.marks[bisect.bisect_right(self.marks, pos, key=lambda m: m[0]) - 1]
         return (first, last) if last is not None else (first + pos - at, first + pos - at + 1)
@@ -97,58 +122,27 @@ def _base64(run: str, most: int) -> str | None:
 
 
 def unwrap(layer: Layer, most: int) -> Iterator[Layer]:
-    """The layers one decoding step below ``layer``."""
+    """The layers one decoding step below ``layer``: the whole text with its URL escapes decoded in
+    place, the same with its Unicode escapes, and what each base64 run holds."""
     text = layer.text
     if "%" in text:
+        found = []
         for m in _URL.finditer(text):
-            run = m[0]
-            if "%" not in run:
-                continue
-            pieces, marks, size = [], [], 0
-            for p in re.finditer(r"(?:%[0-9A-Fa-f]{2})+|[^%]+", run):
-                if p[0][0] != "%":
-                    pieces.append(p[0])
-                    marks += [(size + k, *layer.span(m.start() + p.start() + k, m.start() + p.start() + k + 1)) for k in range(len(p[0]))]
-                    size += len(p[0])
-                    continue
-                raw = unquote_to_bytes(p[0])
-                at = p.start()
-                for c in raw.decode(errors="replace"):
-                    n = len(c.encode()) if c != "�" else 1
-                    pieces.append(c)
-                    end = min(at + 3 * n, p.end())
-                    marks.append((size, *layer.span(m.start() + min(at, p.end() - 1), m.start() + end)))
-                    size += 1
-                    at = end
-            yield Layer("".join(pieces), marks)
+            at = m.start()
+            for c in unquote_to_bytes(m[0]).decode(errors="surrogateescape"):
+                odd = "\udc80" <= c <= "\udcff"  # a byte that is no UTF-8
+                end = at + 3 * (1 if odd else len(c.encode()))
+                found.append((at, end, "\ufffd" if odd else c))
+                at = end
+        if found:
+            yield layer.decoded(found)
     if "\\" in text:
-        done = 0
-        for m in _ESCAPE.finditer(text):
-            # with the characters around it up to white space, so that half-escaped words come out whole
-            if m.start() < done:
-                continue
-            a, b = m.start(), m.end()
-            while a > done and text[a - 1] > " ":
-                a -= 1
-            while b < len(text) and text[b] > " ":
-                b += 1
-            done = b
-            pieces, marks, size, at = [], [], 0, a
-            for e in _ESCAPED.finditer(text, a, b):
-                for k in range(at, e.start()):
-                    marks.append((size, *layer.span(k, k + 1)))
-                    size += 1
-                pieces.append(text[at : e.start()])
-                code = int(e[1] or e[2] or e[3], 16)
-                pieces.append(chr(code) if code < 0xD800 or 0xDFFF < code <= 0x10FFFF else "�")
-                marks.append((size, *layer.span(e.start(), e.end())))
-                size += 1
-                at = e.end()
-            for k in range(at, b):
-                marks.append((size, *layer.span(k, k + 1)))
-                size += 1
-            pieces.append(text[at:b])
-            yield Layer("".join(pieces), marks)
+        found = []
+        for m in _ESCAPED.finditer(text):
+            code = int(m[1] or m[2] or m[3], 16)
+            found.append((m.start(), m.end(), chr(code) if code < 0xD800 or 0xDFFF < code <= 0x10FFFF else "\ufffd"))
+        if found:
+            yield layer.decoded(found)
     for m in _BASE64.finditer(text):
         run = m[0]
         if run.isalpha() and (run.islower() or run.isupper() or run[1:].islower()):

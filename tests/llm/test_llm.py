@@ -197,6 +197,15 @@ def test_forward_backward_is_exact():
     assert np.allclose(language_id.marginals(long, np.array([0, 300, 0]), trans)[0], want / want.sum(1, keepdims=True))
 
 
+def test_secrets_beside_escapes():
+    esc = lambda x: "".join(f"\\u{ord(c):04x}" for c in x)
+    url = lambda x: "".join(f"%{ord(c):02x}" for c in x)
+    for hidden in (f'"password": "{esc("hunter22")}', f'"token":"{url("abcdef")}', f"password: {url('hunter22')}", "\\u0070assword: hunter22", f"{esc('password')} = {url('hunter22')}", f"password: {url(url('hunter22'))}", f"%70assword: \u00e9 {esc('secret')}: %C3%A9 AKIA%41{'B' * 16}"):
+        text = f"é 100% {hidden} after \\ %zz"
+        key = hidden.index("AKIA") if "AKIA" in hidden else hidden.startswith('"')
+        assert (7 + key, int("AKIA" in hidden), 7 + len(hidden)) in secret_scan.find_secrets(text)[1], hidden
+
+
 def test_quality(spark):
     rng = random.Random(4)
     make = {0: lambda: words(rng, 40) + " moron idiot", 1: lambda: " ".join(w.upper() + "!!" for w in words(rng, 40).split()), 2: lambda: words(rng, 40)}
