@@ -11,9 +11,10 @@ import base64
 import binascii
 import bisect
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from limpid.llm.common import sliced
 
+CHUNK = 1 << 18  # bytes that a compressed stream gives at a time
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""((?:(?ai:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _WORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
@@ -96,29 +98,114 @@ def _text(raw: bytes) -> str | None:
     return text if text and not any(c < " " and c not in "\t\n\r\f\v" for c in text) else None
 
 
-def inflate(raw: bytes, most: int) -> bytes | None:
-    """Uncompressed gzip or zlib bytes, the first ``most`` of them; None if neither."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(raw, most)
-    except zlib.error:
-        return None
+def packed(raw: bytes) -> bool:
+    """Whether ``raw`` begins like gzip or zlib."""
+    return raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0)
+
+
+def inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of a gzip or zlib stream in pieces of up to CHUNK: those of all members, what follows the last one
+    as it is, and of a broken stream those before the break."""
+    member, plain = zlib.decompressobj(47), False
+    for chunk in chunks:
+        while chunk and not plain:
+            try:
+                out = member.decompress(chunk, CHUNK)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            chunk = member.unconsumed_tail
+            if member.eof:
+                chunk = member.unused_data
+                if chunk:
+                    plain = not packed(chunk)
+                member = zlib.decompressobj(47)
+            elif not chunk:
+                while out:  # what it still holds back
+                    try:
+                        out = member.decompress(b"", CHUNK)
+                    except zlib.error:
+                        return
+                    if out:
+                        yield out
+        if chunk:
+            yield chunk
+
+
+def unpacked(raw: bytes, most: int) -> Iterator[bytes]:
+    """What ``raw`` holds below all its compressed layers, in windows of up to ``most`` bytes that overlap by half;
+    ``raw`` itself if it is not compressed."""
+    met: set[bytes] = set()
+    while packed(raw):
+        mark = hashlib.sha256(raw).digest()
+        if mark in met:  # bytes that unfold to themselves
+            return
+        met.add(mark)
+        stream = inflated([raw])
+        head = next(stream, b"")
+        if not head:
+            break
+        parts, size = [head], len(head)
+        while size <= most and (part := next(stream, None)):
+            parts.append(part)
+            size += len(part)
+        raw = b"".join(parts)
+        if size <= most:
+            continue
+        rest: Iterator[bytes] = itertools.chain([raw], stream)
+        while packed(raw):  # layers beyond one window are unfolded as streams
+            rest = inflated(rest)
+            if not (raw := next(rest, b"")):
+                return
+            rest = itertools.chain([raw], rest)
+        yield from _windows(rest, most)
+        return
+    yield raw
+
+
+def _windows(stream: Iterable[bytes], most: int) -> Iterator[bytes]:
+    held, fresh, step = bytearray(), False, max(1, most // 2)
+    for part in stream:
+        for k in range(0, len(part), step):
+            held += part[k : k + step]
+            fresh = True
+            while len(held) >= most:
+                yield bytes(held[:most])
+                del held[:step]
+                fresh = len(held) > most - step
+    if fresh:
+        yield bytes(held)
+
+
+def _texts(raw: bytes, most: int) -> Iterator[str]:
+    """The texts of what ``raw`` holds."""
+    for k, window in enumerate(unpacked(raw, most)):
+        if len(window) < most and not k:
+            if text := _text(window):
+                yield text
+            continue
+        # a window begins and ends anywhere in a character
+        a, b = 0, len(window)
+        while a < 3 and a < b and window[a] & 0xC0 == 0x80:
+            a += 1
+        for n in range(1, 4):
+            if n <= b - a and window[b - n] & 0xC0 == 0xC0:
+                b -= n if window[b - n] >> (7 - n) != (1 << (n + 1)) - 2 else 0
+                break
+        if text := _text(window[a:b]):
+            yield text
 
 
-def _base64(run: str, most: int) -> str | None:
+def _base64(run: str, most: int) -> Iterator[str]:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    for _ in range(64):
-        if (inner := inflate(raw, most)) is None:
-            break
-        raw = inner
-    return _text(raw)
+        return
+    yield from _texts(raw, most)
 
 
 def unwrap(layer: Layer, most: int) -> Iterator[Layer]:
@@ -147,7 +234,7 @@ def unwrap(layer: Layer, most: int) -> Iterator[Layer]:
         run = m[0]
         if run.isalpha() and (run.islower() or run.isupper() or run[1:].islower()):
             continue  # a plain word
-        if (inner := _base64(run, most)) is not None:
+        for inner in _base64(run, most):
             yield Layer(inner, [(0, *layer.span(m.start(), m.end()))])
 
 
@@ -186,9 +273,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decoded layer is that of the encoded characters it came from. ``base`` holds the
     spans of the text as it stands, ``spans`` those and the decoded ones. A null text
     counts as empty and has none; ids are carried through, null and repeated ones too;
-    an empty table gives an empty result. ``max_inflated`` bounds the bytes that one
-    compressed layer may unfold to (a guard against decompression bombs): of a layer beyond
-    it that many bytes are scanned.
+    an empty table gives an empty result. Compressed layers are unfolded to their end, all members of them
+    and however deep; one of more than ``max_inflated`` bytes is scanned in windows of so many that overlap
+    by half, so memory stays bounded, and only a single secret or encoded run of more than half a window,
+    in a layer of more than one, may be seen in parts.
     """
     import pyarrow as pa
 

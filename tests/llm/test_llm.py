@@ -206,6 +206,22 @@ def test_secrets_beside_escapes():
         assert (7 + key, int("AKIA" in hidden), 7 + len(hidden)) in secret_scan.find_secrets(text)[1], hidden
 
 
+def test_secrets_deep_in_compressed_layers():
+    plain, pad = b"password=hunter22x", "\u00e9 \u20ac ".encode() * 4000
+    deep = plain
+    for _ in range(100):
+        deep = gzip.compress(deep)
+    two = gzip.compress(b"a first member, ") + gzip.compress(plain)
+    for raw in (gzip.compress(pad + plain), gzip.compress(pad + plain + pad), zlib.compress(gzip.compress(pad + plain)), two, gzip.compress(gzip.compress(pad) + gzip.compress(b" " + plain)), deep):
+        hidden = base64.b64encode(raw).decode()
+        for most in (1 << 24, 1000, 1001, 1002, 1003):
+            assert (9, 0, 9 + len(hidden)) in secret_scan.find_secrets(f"\u00e9 before {hidden} after", most)[1], (len(raw), most)
+    big = base64.b64encode(zlib.compress("\u20ac".encode() * (6 << 20) + b" " + plain)).decode()
+    assert secret_scan.find_secrets(big)[1] == [(0, 0, len(big))]
+    parts = list(secret_scan.unpacked(zlib.compress(bytes(range(256)) * 41), 1000))
+    assert parts[0] + b"".join(p[500:] for p in parts[1:]) == bytes(range(256)) * 41
+
+
 def test_quality(spark):
     rng = random.Random(4)
     make = {0: lambda: words(rng, 40) + " moron idiot", 1: lambda: " ".join(w.upper() + "!!" for w in words(rng, 40).split()), 2: lambda: words(rng, 40)}
