@@ -8,7 +8,6 @@ no new layer appears. Every layer maps its characters to a span of the original
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
 import hashlib
 import itertools
@@ -33,6 +32,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U000([0-9A-Fa-f]{5})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE_END = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
+_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
+_SPLIT = re.compile(r"[/_-]")
+_ODD = re.compile(rb"[\x00-\x08\x0e-\x1f]")
+#: What a text must hold for a span or a further layer to come of it.
+_HINT = re.compile(r"(?ai:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -178,34 +183,89 @@ def _windows(stream: Iterable[bytes], most: int) -> Iterator[bytes]:
         yield bytes(held)
 
 
+def _segments(raw: bytes, cuts: list[int], code: str) -> tuple[str, list[int]]:
+    """``raw`` as text whatever it holds, and where in it the bytes from each of ``cuts`` on begin."""
+    pieces, at, size = [], [], 0
+    for a, b in zip(cuts, [*cuts[1:], len(raw)]):
+        at.append(size)
+        pieces.append(raw[a:b].decode(code, "replace"))
+        size += len(pieces[-1])
+    return "".join(pieces), at
+
+
+def _lenient(raw: bytes, cuts: list[int]) -> Iterator[tuple[str, list[int]]]:
+    """The readings of bytes that are no clean UTF-8 in which something may be found: UTF-8 and, with a zero
+    byte, UTF-16 of either order from either byte on."""
+    for code, odd in (("utf-8", 0), *((("utf-16-le", 0), ("utf-16-le", 1)) if b"\0" in raw else ())):
+        if _HINT.search(raw[odd:].decode(code, "replace")):
+            yield _segments(raw, cuts if code == "utf-8" else [c + (c + odd) % 2 for c in cuts], code)
+
+
 def _texts(raw: bytes, most: int) -> Iterator[str]:
     """The texts of what ``raw`` holds."""
-    for k, window in enumerate(unpacked(raw, most)):
-        if len(window) < most and not k:
-            if text := _text(window):
-                yield text
-            continue
-        # a window begins and ends anywhere in a character
-        a, b = 0, len(window)
-        while a < 3 and a < b and window[a] & 0xC0 == 0x80:
-            a += 1
-        for n in range(1, 4):
-            if n <= b - a and window[b - n] & 0xC0 == 0xC0:
-                b -= n if window[b - n] >> (7 - n) != (1 << (n + 1)) - 2 else 0
-                break
-        if text := _text(window[a:b]):
+    for window in unpacked(raw, most):
+        if text := _text(window):
             yield text
+        else:
+            yield from (t for t, _ in _lenient(window, [0]))
 
 
-def _base64(run: str, most: int) -> Iterator[str]:
+def _clean_from(raw: bytes, cuts: list[int]) -> int | None:
+    """The first of ``cuts`` from which on ``raw`` is plausible text."""
+    bad = len(raw) - m.start() if (m := _ODD.search(raw[::-1])) else 0
+    for k, c in enumerate(cuts):
+        if bad <= c < len(raw):
+            try:
+                raw[c:].decode()
+                return k
+            except UnicodeDecodeError as e:
+                bad = c + e.end
+    return None
+
+
+def _base64(run: str, starts: list[int], most: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Texts that ``run`` holds, each with (place in the text, place in the run) of its parts. A payload may begin
+    at any of ``starts``; as four characters are three bytes, the run is decoded once from each of the first four."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    yield from _texts(raw, most)
+    for o in range(min(4, len(body))):
+        part = body[o : len(body) - ((len(body) - o) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        begins = [o, *(p for p in starts if p > o and p % 4 == o)]
+        cuts = [(p - o) // 4 * 3 for p in begins]
+        deep = {c for c in cuts if packed(raw[c : c + 3])}
+        at = raw.find(b"\x1f\x8b\x08")
+        while at >= 0:
+            deep.add(at)
+            at = raw.find(b"\x1f\x8b\x08", at + 1)
+        for c in sorted(deep):
+            if next(inflated([raw[c:]]), b""):
+                place = begins[bisect.bisect_right(cuts, c) - 1]
+                yield from ((t, [(0, place)]) for t in _texts(raw[c:], most))
+        if (k := _clean_from(raw, cuts)) is not None:
+            yield raw[cuts[k] :].decode(), [(0, begins[k])]
+            if k == o == 0:
+                return
+        yield from ((t, list(zip(places, begins))) for t, places in _lenient(raw, cuts))
+
+
+def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
+    """Base64 runs as (run, (place in the run, place in the text) of its lines, end in the text): those of
+    one line, and those joined over line ends."""
+    for m in _BASE64.finditer(text):
+        run = m[0]
+        if run.isalpha() and (run.islower() or run.isupper() or run[1:].islower()):
+            continue  # a plain word
+        yield run, [(0, m.start())], m.end()
+    if "\n" in text or "\\n" in text:
+        for m in _WRAPPED.finditer(text):
+            lines, at, size, spots = [], m.start(), 0, []
+            for e in [*_LINE_END.finditer(m[0]), None]:
+                end = m.start() + e.start() if e else m.end()
+                lines.append(text[at:end])
+                spots.append((size, at))
+                size += end - at
+                at = m.start() + e.end() if e else end
+            yield "".join(lines), spots, m.end()
 
 
 def unwrap(layer: Layer, most: int) -> Iterator[Layer]:
@@ -230,12 +290,14 @@ def unwrap(layer: Layer, most: int) -> Iterator[Layer]:
             found.append((m.start(), m.end(), chr(code) if code < 0xD800 or 0xDFFF < code <= 0x10FFFF else "\ufffd"))
         if found:
             yield layer.decoded(found)
-    for m in _BASE64.finditer(text):
-        run = m[0]
-        if run.isalpha() and (run.islower() or run.isupper() or run[1:].islower()):
-            continue  # a plain word
-        for inner in _base64(run, most):
-            yield Layer(inner, [(0, *layer.span(m.start(), m.end()))])
+    for run, spots, end in _runs(text):
+        starts = sorted({*(at for at, _ in spots), *(m.end() for m in _SPLIT.finditer(run))})
+        for inner, parts in _base64(run, starts, most):
+            marks = []
+            for at, place in parts:
+                line, first = spots[bisect.bisect_right(spots, place, key=lambda x: x[0]) - 1]
+                marks.append((at, *layer.span(first + place - line, end)))
+            yield Layer(inner, marks)
 
 
 def find_secrets(text: str, most: int = 1 << 24) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

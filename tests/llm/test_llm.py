@@ -222,6 +222,20 @@ def test_secrets_deep_in_compressed_layers():
     assert parts[0] + b"".join(p[500:] for p in parts[1:]) == bytes(range(256)) * 41
 
 
+def test_secrets_in_base64_anywhere():
+    plain = "password=hunter22x"
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    zipped = b64(gzip.compress(random.Random(1).randbytes(90).hex().upper().encode() + b" " + plain.encode()))
+    wrap = lambda x, end: end.join(x[k : k + 64] for k in range(0, len(x), 64))
+    whole = [b64(plain.encode(code)) for code in ("utf-16", "utf-16-le", "utf-16-be")] + [b64(b"\xff\x00\x01 " + plain.encode() + b"\xfe"), b64(b64(plain.encode("utf-16-le"))), b64(gzip.compress(plain.encode("utf-16-le")))]
+    whole += [wrap(zipped, "\n"), wrap(zipped, "\r\n  "), wrap(zipped, "\\n"), wrap(b64("a" * 40 + " " + plain), "\n")]
+    for before, hidden in [(b, h) for b in ("io/login/", "key-", "ab_c/", "/", " ") for h in (b64(plain), b64(plain).rstrip("="), zipped)] + [("é ", h) for h in whole]:
+        spans = secret_scan.find_secrets(f"{before}{hidden} after")[1]
+        assert (len(before), 0, len(before) + len(hidden)) in spans, (before, hidden)
+    glued = "io/login/" + b64(plain) + "A"
+    assert (9, 0, len(glued)) in secret_scan.find_secrets(glued)[1]
+
+
 def test_quality(spark):
     rng = random.Random(4)
     make = {0: lambda: words(rng, 40) + " moron idiot", 1: lambda: " ".join(w.upper() + "!!" for w in words(rng, 40).split()), 2: lambda: words(rng, 40)}
