@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -26,23 +27,41 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "td", "th", "tr", "table", "tbody", "aside", "header", "footer", "nav", "form", "center", "details", "dialog", "fieldset", "menu"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "caption", "thead", "tfoot", "hgroup", "summary", "address", "legend", "head", "hr"}
+NEVER = {"html", "body", "article", "main"}  # no noise by their own names
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SENTENCE = 60  # characters from which a block counts as a sentence rather than a label
 DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head"}
-#: Words of class and id attributes of what is no article text.
+#: Words of class names and ids of what is no article text, and what they are commonly joined with.
 NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adv|advert\w*|adsense|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|promo\w*|sponsor\w*|"
-    r"side-?bar|widget\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|top-?bar|comments?|comment-\w+|commentlist|disqus|"
-    r"repl(?:y|ies)|respond|related|recommend\w*|share|sharing|social|pop-?up|modal|overlay|log-?in|sign-?up|search|toolbar|paginat\w+|pager|skip-?link|copyright)(?=$|[-_\s])",
-    re.I,
+    r"ads?|adv|advert[a-z0-9]*|adsense|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|promo[a-z0-9]*|sponsor[a-z0-9]*|"
+    r"sidebar|widget[a-z0-9]*|menu[a-z0-9]*|nav|navbar|navigation|breadcrumbs?|footer|masthead|siteheader|pageheader|topbar|comments?|commentlist|disqus|"
+    r"repl(?:y|ies)|respond|related|recommend[a-z0-9]*|share|sharing|social|popup|modal|overlay|login|signup|search|toolbar|paginat[a-z0-9]+|pager|skiplink|copyright"
 )
+_BEFORE = {"site", "page", "post", "main", "top", "bottom", "global", "primary", "secondary", "entry", "article", "user"}
+_AFTER = re.compile(
+    r"areas?|container|wrap|wrapper|inner|box|bar|list|items?|slot|unit|form|section|block|thread|links?|buttons?|icons?|media|posts?|articles?|message|left|right|top|bottom|primary|secondary|[0-9]+"
+)
+_HYPHEN = re.compile(r"(?<![a-z])(side-(?=bar)|site-(?=header)|page-(?=header)|top-(?=bar)|pop-(?=up)|log-(?=in)|sign-(?=up)|skip-(?=link))")
+
+
+@lru_cache(4096)
+def noise_name(name: str) -> bool:
+    """Whether a class name or id as a whole is one of no article text. Names that hold other words besides
+    (no-sidebar, content-sidebar-wrap, elementor-widget-text-editor) tell of the layout and are not."""
+    parts = [p for p in re.split("[-_]+", _HYPHEN.sub(lambda m: m[0][:-1], name.lower())) if p]
+    if len(parts) > 1 and parts[0] in _BEFORE:
+        parts = parts[1:]
+    if not parts or not NOISE.fullmatch(parts[0]):
+        return False
+    return parts[0] == "comment" or all(NOISE.fullmatch(p) or _AFTER.fullmatch(p) for p in parts[1:])
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "first", "last")
+    __slots__ = ("tag", "path", "parent", "noise", "named", "first", "last")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, first: int = 0):
+    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, named: bool = False, first: int = 0):
         self.tag, self.path, self.parent, self.noise = tag, path, parent, noise
+        self.named = named  # noise by nothing but names
         self.first, self.last = first, first  # its blocks are those from first up to last
 
 
@@ -126,15 +145,36 @@ def parse(html: str) -> list[tuple[Node, str, int, bool]]:
             step, names = _generalised(tag, attrs)
             up = stack[-1]
             in_article = any(n.tag in ("article", "main") for n in stack)
-            noise = up.noise or tag in DROPPED or (tag == "header" and not in_article)
-            if not noise and attrs and tag not in ("html", "body"):
-                noise = bool(NOISE.search(names) or _HIDDEN.search(attrs) or _ROLE.search(attrs))
-            stack.append(Node(tag, f"{up.path}/{step}", up, noise, len(blocks)))
+            sure = (up.noise and not up.named) or tag in DROPPED or (tag == "header" and not in_article)
+            if not sure and attrs and tag not in ("html", "body"):
+                sure = bool(_HIDDEN.search(attrs) or _ROLE.search(attrs))
+            named = not sure and tag != "main" and (up.named or (tag not in NEVER and any(noise_name(c) for c in names.split())))
+            stack.append(Node(tag, f"{up.path}/{step}", up, sure or named, named, len(blocks)))
     close()
     leave(0)
+    if blocks and all(b[0].noise for b in blocks):
+        _by_links(blocks)
     return blocks
 
 
+def _by_links(blocks: list[tuple[Node, str, int, bool]]) -> None:
+    """Names left nothing: containers that are noise by name only become text, unless mostly links."""
+    sizes = [(0, 0)]
+    for _, text, linked, _ in blocks:
+        sizes.append((sizes[-1][0] + len(text), sizes[-1][1] + linked))
+    met: set[int] = set()
+    for node, *_ in blocks:
+        way = []
+        while node is not None and id(node) not in met:
+            met.add(id(node))
+            way.append(node)
+            node = node.parent
+        for n in reversed(way):
+            if n.named:
+                size, links = (b - a for a, b in zip(sizes[n.first], sizes[n.last]))
+                n.noise = 2 * links > size or (n.parent is not None and n.parent.noise)
+
+
 def _sums(blocks: list[tuple[Node, str, int, bool]]) -> list[tuple[int, int, int]]:
     """Running sums over blocks that are no noise: characters, those in links, headings and sentences."""
     sums = [(0, 0, 0)]

@@ -337,6 +337,20 @@ def test_html_sections(spark):
         assert text == (f"T\nThe lead.\n{body.strip()}" if k < 90 else body.strip()), k
 
 
+def test_html_names_of_layout():
+    p = "<p>Some text of the article, with words, and more of them.</p>"
+    text = lambda html: html_extract.extract(html_extract.parse(f"<html><body>{html}</body></html>"), None)
+    want = p[3:-4]
+    for box in (
+        '<main class="content no-sidebar">%s</main>', '<div class="has-sidebar">%s</div>', '<article class="post has-comments">%s</article>', '<article class="comments">%s</article>',
+        '<div class="content-sidebar-wrap">%s</div>', '<div class="elementor-widget elementor-widget-text-editor">%s</div>', '<div class="page sidebar">%s</div>', '<div class="widget"><div class="x menu">%s</div></div>',
+    ):
+        nav = '<div class="menu"><a href=/>A link</a> <a href=/b>Another</a></div>'
+        assert text(nav + box % p + "<footer>Foot, of the page</footer>") == want, box
+    for name in ("sidebar", "post-comments", "ad-slot", "widget-area", "comment-list", "site-footer", "breadcrumbs", "related-posts", "ad", "cookie-notice", "main-nav", "share-buttons"):
+        assert text(f'<div class="wrap"><div class="post">{p}</div><div class="{name}"><p>Some other text, of no article, that is long enough to stand.</p></div></div>') == want, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
