@@ -22,6 +22,7 @@ K1, B = 1.2, 0.75
 BLOCK = 32  # items of an index block
 EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 RAW_WORDS = 100_000
+NO_TERM = -2  # the number of a word of punctuation only
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -54,13 +55,13 @@ def overlap(part: list[bytes], passage: list[bytes], n: int) -> float:
 
 
 class _Numbers(dict):
-    """Raw word -> term number, -1 if no item has it; what is kept is bounded."""
+    """Raw word -> term number, -1 if no item has it, NO_TERM without a term; what is kept is bounded."""
 
     def __init__(self, vocab: dict[bytes, int]):
         self.vocab = vocab
 
     def __missing__(self, word: bytes) -> int:
-        x = self.vocab.get(word.strip(EDGES), -1)
+        x = self.vocab.get(own, -1) if (own := word.strip(EDGES)) else NO_TERM
         if len(self) < RAW_WORDS:
             self[word] = x
         return x
@@ -103,14 +104,15 @@ class Index:
         np.maximum.at(block_max, (t, i // BLOCK), x)
         term_max = block_max.max(1) if post else np.zeros(0, np.float32)
         parts = [tuple(terms_of(p) for p in question_answer(text or "")) for _, text in rows]
-        return Index([r[0] for r in rows], parts, vocab, np.searchsorted(t, np.arange(len(vocab) + 1)), i, x, term_max, block_max, max(64, 2 * longest))
+        return Index([r[0] for r in rows], parts, vocab, np.searchsorted(t, np.arange(len(vocab) + 1)), i, x, term_max, block_max, max(64, 2 * (longest + longest // 4)))
 
 
 def candidates(docs: list[np.ndarray], index: Index, least: float) -> list[tuple[int, int, int, float]]:
     """(document, window, item, score) of all windows and items that reach ``least``.
 
-    ``docs`` holds each document's term numbers by word, -1 for words no item has.
-    Windows overlap by half, so any item lies in one whole.
+    ``docs`` holds each document's term numbers by term, -1 for terms no item has.
+    Windows overlap by half, which holds the longest item and a quarter more, so any item lies in one whole,
+    also with so many words put into it.
     """
     step = index.window // 2
     lengths = np.array([len(d) for d in docs])
@@ -156,10 +158,12 @@ def matches(texts: list[str | None], index: Index, least: float, n: int, questio
     numbers = index.numbers
     words = [(t or "").encode().lower().split() for t in texts]
     docs = [np.array([numbers[w] for w in own], np.int64) for own in words]
+    at = [np.flatnonzero(x != NO_TERM) for x in docs]  # the words that are terms
+    docs = [x[k] for x, k in zip(docs, at)]
     found: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
     step = index.window // 2
     for d, w, i, score in candidates(docs, index, least):
-        passage = [x for raw in words[d][w * step : w * step + 2 * step] if (x := raw.strip(EDGES))]
+        passage = [words[d][k].strip(EDGES) for k in at[d][w * step : w * step + 2 * step]]
         q, a = (overlap(p, passage, n) for p in index.parts[i])
         if q >= question and a >= answer:
             found[d][i] = max(found[d].get(i, (0.0, 0.0, 0.0)), (score, q, a))
@@ -209,7 +213,8 @@ def find_contaminated(
 
     An item is found if a passage of the document scores ``least`` or more on it and holds at least the
     shares ``question`` and ``answer`` of the ``n``-word runs of its two parts. Passages are runs
-    of twice the longest item's words that overlap by half and cover the whole text. Items
+    of two and a half times the longest item's terms that overlap by half and cover the whole text; words
+    of punctuation only are no terms. Items
     without words, and null and empty texts, are in nothing. Ids of documents are not used;
     an item without id is listed as null. An empty table of documents gives an empty result, one of items finds nothing.
     Input columns with the names of added ones give way to them.

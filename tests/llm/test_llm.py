@@ -263,6 +263,20 @@ def test_decontamination(spark):
     assert all(r["_items"] == [] for r in decontaminate.find_contaminated(docs(spark, rows), bench.limit(0)).collect())
 
 
+def test_items_with_symbols_lie_whole_in_a_window():
+    rng = random.Random(9)
+    own = words(rng, 80).split()
+    item = " = ".join(own[:70]) + "? " + " | - | ".join(own[70:])
+    index = decontaminate.Index.build([(0, item)], Counter(set(decontaminate.terms_of(item))), 1, 80.0)
+    more = own[:]
+    for k in (70, 50, 30, 10):
+        more.insert(k, "inserted")
+    for text in (item, " - ".join(own), " ".join(more)):
+        for before in range(0, 260, 3):
+            found = decontaminate.matches([f"{words(rng, before)} {text} {words(rng, 150)}"], index, 0.5, 5, 0.5, 0.5)
+            assert list(found[0]) == [0], before
+
+
 def test_bounds_lose_no_item():
     rng = random.Random(8)
     rows = [(k, words(rng, 20)) for k in range(100)]
