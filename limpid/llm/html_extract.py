@@ -23,7 +23,10 @@ _ID = re.compile(r"""(?<![\w-])id\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re
 _HIDDEN = re.compile(r"""(?<![\w-])hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert)""", re.I)
 
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "button", "object", "math", "xmp"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp"}  # hold no tags; an unclosed one takes the rest of the page
+#: Left out with what they hold. Those of BRIEF hold no blocks: one that is not closed ends at the next block.
+BRIEF = {"select", "button", "svg", "annotation", "annotation-xml"}
+LEFT_OUT = BRIEF | {"noscript", "template"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "td", "th", "tr", "table", "tbody", "aside", "header", "footer", "nav", "form", "center", "details", "dialog", "fieldset", "menu"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "figure", "figcaption", "caption", "thead", "tfoot", "hgroup", "summary", "address", "legend", "head", "hr"}
@@ -76,6 +79,24 @@ def _generalised(tag: str, attrs: str) -> tuple[str, str]:
     return step, f"{names} {_first(_ID.search(attrs))}" if attrs else ""
 
 
+_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
+_NEXT = {tag: re.compile(rf"<(?:(/{tag}\b[^>]*>?)|{tag}\b|/?(?:{'|'.join(sorted(BLOCKS - {'div'} if tag == 'button' else BLOCKS))})\b)", re.I) for tag in BRIEF}
+_NEST = {tag: re.compile(rf"<(/?){tag}\b[^>]*>?", re.I) for tag in LEFT_OUT - BRIEF}
+
+
+def _end(html: str, tag: str, at: int) -> int | None:
+    """Where a tag of LEFT_OUT ends that was opened before ``at``; None if it is not closed."""
+    if tag in BRIEF:
+        m = _NEXT[tag].search(html, at)
+        return m.end() if m and m[1] else None
+    depth = 1
+    for m in _NEST[tag].finditer(html, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return None
+
+
 def parse(html: str) -> list[tuple[Node, str, int, bool]]:
     """The text blocks in page order: (innermost container, text, its characters in links, whether a heading)."""
     blocks: list[tuple[Node, str, int, bool]] = []
@@ -84,7 +105,9 @@ def parse(html: str) -> list[tuple[Node, str, int, bool]]:
     text: list[str] = []
     linked = links = at = 0
     heading = False
+    muted: tuple[str, int] | None = None  # an unclosed tag of LEFT_OUT, and how many containers are around it
     size = len(html)
+    closed = dict.fromkeys(LEFT_OUT, size)  # up to where one may be closed
 
     def close() -> None:
         nonlocal linked
@@ -103,7 +126,7 @@ def parse(html: str) -> list[tuple[Node, str, int, bool]]:
     while at < size:
         m = _TOKEN.search(html, at)
         start = m.start() if m else size
-        if start > at:
+        if start > at and not muted:
             piece = html[at:start]
             if "&" in piece:
                 piece = unescape(piece)
@@ -119,9 +142,23 @@ def parse(html: str) -> list[tuple[Node, str, int, bool]]:
         tag, closing = tag.lower(), m[1]
         if tag in RAW:
             if not closing and not m[0].endswith("/>"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                end = _END[tag].search(html, at)
+                if tag == "xmp" and not muted:
+                    text.append(html[at : end.start() if end else size])
                 at = end.end() if end else size
             continue
+        if tag in LEFT_OUT:
+            if closing:
+                if muted and muted[0] == tag:
+                    muted = None
+            elif not m[0].endswith("/>") and not muted:
+                if at < closed[tag] and (end := _end(html, tag, at)):
+                    at = end
+                else:
+                    muted = tag, len(stack)
+                    if tag not in BRIEF:
+                        closed[tag] = at  # none is closed from here on
+            continue
         if tag == "a":
             links = 0 if closing else 1
             continue
@@ -130,6 +167,8 @@ def parse(html: str) -> list[tuple[Node, str, int, bool]]:
             continue
         if tag not in BLOCKS:
             continue
+        if muted and muted[0] in BRIEF:
+            muted = None
         close()
         heading = not closing and tag in HEADINGS
         if tag not in CONTAINERS and tag not in ("ul", "ol", "blockquote", "figure", "dl"):
@@ -138,6 +177,8 @@ def parse(html: str) -> list[tuple[Node, str, int, bool]]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     leave(k)
+                    if muted and k < muted[1]:
+                        muted = None
                     break
             links = 0
         elif not m[0].endswith("/>"):

@@ -365,6 +365,19 @@ def test_html_names_of_layout():
         assert text(f'<div class="wrap"><div class="post">{p}</div><div class="{name}"><p>Some other text, of no article, that is long enough to stand.</p></div></div>') == want, name
 
 
+def test_html_unclosed_and_shown_tags():
+    text = lambda html: html_extract.extract(html_extract.parse(f"<html><body>{html}</body></html>"), None)
+    p = "<p>Some text of the article, with words.</p>"
+    want = p[3:-4]
+    for before in ("<button>Menu", "<div><select><option>A</div>", "<select><option>A", "<div><template><p>No</p></div>", "<div><noscript>No</div>", "<svg><path>", "<button>Menu <button>More</button>", "<button><div>Menu</div></button>", "<template><template><p>No</p></template><p>No</p></template>"):
+        assert text(f"{before}<article>{p}</article>") == want, before
+    assert text(f"<article>{p}<p>An <button>Share</button> end <svg><text>no</text></svg>here<select><option>A</select>.</p></article><button>More") == f"{want}\nAn end here."
+    shown = "<p>With <math><mi>x</mi>=<mn>1</mn></math>, <object>a picture</object> and <xmp><b> &amp;</xmp>.</p>"
+    assert text(f"<article>{p}{shown}</article>") == f"{want}\nWith x=1, a picture and <b> &amp;."
+    for tag in ("script", "style", "textarea", "title"):
+        assert text(f"<article>{p}<{tag}>no</article><p>no</p>") == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
