@@ -54,13 +54,14 @@ PRIORITY = {
 CARD_GAPS = " -.\u2015\u2010\u2011"
 OPT_IN = ("personName", "address")
 MAX_MATCHES = 100_000
+OVERLAP = 200
 # End of fixed values.
 
 #: From public token formats.
 SECRETS = {
     "bearer": r"\b[Bb]earer\s+[A-Za-z0-9._~+/-]{16,}=*",
     "jwt": r"\beyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}",
-    "privateKey": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]{0,8000}?-----END [A-Z ]*PRIVATE KEY-----",
+    "privateKey": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----)[\s\S])*-----END [A-Z ]{0,40}PRIVATE KEY-----",
     "aws": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "gcp": r"\bAIza[A-Za-z0-9_-]{35}",
     "github": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255})",
@@ -262,30 +263,55 @@ class Detect:
     """What to look for: a level for each enabled type."""
 
     levels: tuple[tuple[str, str], ...]
+    max_length: int = 1_000_000  # a longer text is searched in parts that overlap by OVERLAP
+    utf16: bool = False  # offsets of ``detect`` in UTF-16 units
+
+    def __post_init__(self):
+        if self.max_length <= OVERLAP:
+            raise ValueError(f"max_length must be over {OVERLAP}")
 
     @staticmethod
-    def of(level: str = "balanced", enabled: dict[str, bool] | None = None, pii: bool = True, secrets: bool = True) -> Detect:
+    def of(level: str = "balanced", enabled: dict[str, bool] | None = None, pii: bool = True, secrets: bool = True, max_length: int = 1_000_000, utf16: bool = False) -> Detect:
         """Given ``enabled``, everything not explicitly false is on, the opt-in types too."""
         types = (PII_TYPES if pii else ()) + (SECRET_TYPES if secrets else ())
         on = [t for t in types if (enabled.get(t, True) if enabled is not None else t not in OPT_IN)]
-        return Detect(tuple((t, level) for t in on))
+        return Detect(tuple((t, level) for t in on), max_length, utf16)
 
 
 def find(text: str | None, what: Detect) -> list[Finding]:
-    if not text:
-        return []
-    t = _Text(text)
+    """The findings of one text, in order; offsets are code points."""
     found: list[Finding] = []
-    for kind, level in what.levels:
-        if kind in DETECTORS:
-            found += [(kind, a, b, c) for a, b, c in DETECTORS[kind](t, level) if c >= THRESHOLDS[level]]
-        else:
-            c = SECRET_CONFIDENCE.get(kind, 0.95)
-            if c >= THRESHOLDS[level]:
-                found += [(kind, m.start(), m.end(), c) for m in _SECRET_RE[kind].finditer(text)]
+    size, at = len(text or ""), 0
+    while at < size:
+        end = min(size, at + what.max_length)
+        t = _Text(text[at:end] if at or end < size else text)
+        for kind, level in what.levels:
+            if kind in DETECTORS:
+                found += [(kind, a + at, b + at, c) for a, b, c in DETECTORS[kind](t, level) if c >= THRESHOLDS[level]]
+            else:
+                c = SECRET_CONFIDENCE.get(kind, 0.95)
+                if c >= THRESHOLDS[level]:
+                    found += [(kind, m.start() + at, m.end() + at, c) for m in _SECRET_RE[kind].finditer(t.text)]
+        if end == size:
+            break
+        at = end - OVERLAP
     return resolve_overlaps(found)
 
 
+def utf16_offsets(text: str, found: list[Finding]) -> list[Finding]:
+    """Findings with offsets in UTF-16 units."""
+    if text.isascii() or not any(c > "\uffff" for c in text):
+        return found
+    out, at, wide = [], 0, 0
+    for kind, a, b, c in found:  # in order and without overlap
+        wide += sum(x > "\uffff" for x in text[at:a])
+        first = a + wide
+        wide += sum(x > "\uffff" for x in text[a:b])
+        out.append((kind, first, b + wide, c))
+        at = b
+    return out
+
+
 def trigger(what: Detect) -> str:
     """A cheap Java pattern that every text with a finding matches."""
     kinds = {k for k, _ in what.levels}
@@ -300,15 +326,20 @@ def trigger(what: Detect) -> str:
     return "|".join(parts) or "(?!)"
 
 
-def detect(col: Column, what: Detect = Detect.of()) -> Column:
-    """ARRAY<STRUCT<type, start, end, confidence>>, offsets in code points; null for null."""
+def detect(col: Column, what: Detect = Detect.of(), guard: str | None = None) -> Column:
+    """ARRAY<STRUCT<type, start, end, confidence>>, offsets in code points or UTF-16 units; null for null.
+    Only texts that match ``guard``, a Java pattern, are searched: the trigger of ``what`` by default."""
+    none = F.array().cast(f"array<{FINDING}>")
+    if not what.levels:
+        return F.when(col.isNotNull(), none)
 
     @F.pandas_udf(f"array<{FINDING}>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [dict(zip(("type", "start", "end", "confidence"), f)) for f in find(x, what)] for x in s], dtype=object)
+        shown = utf16_offsets if what.utf16 else lambda _, found: found
+        return pd.Series([None if x is None else [dict(zip(("type", "start", "end", "confidence"), f)) for f in shown(x, find(x, what))] for x in s], dtype=object)
 
-    hit = run.asNondeterministic()(F.when(col.rlike(trigger(what)), col))
-    return F.when(col.isNotNull(), F.coalesce(hit, F.array().cast(f"array<{FINDING}>")))
+    hit = run.asNondeterministic()(F.when(col.rlike(trigger(what) if guard is None else guard), col))
+    return F.when(col.isNotNull(), F.coalesce(hit, none))
 
 
 # Native single-type detection. No bare \b, \w or \s: Java's \b knows more letters than ASCII.

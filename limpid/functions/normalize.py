@@ -190,32 +190,49 @@ def normalize_uuid(col: Column) -> Column:
     return F.when(h.rlike(r"^[0-9a-f]{32}\z") & (F.length(s) <= 40), F.concat_ws("-", *parts))
 
 
+def uuid_text(raw: str) -> str | None:
+    """``normalize_uuid`` of one Python string."""
+    s = T.trim_text(raw)
+    h = re.sub(rf"[{{}}{C.to_python(C.WS_TRIM)}-]", "", s).lower()
+    return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:])) if len(s) <= 40 and re.fullmatch("[0-9a-f]{32}", h) else None
+
+
 def normalize_phone(col: Column, default_prefix: str | None = None) -> Column:
-    s = T.js_trim(col)
-    digits = F.regexp_replace(s, r"[^0-9]", "")
-    international = s.startswith("+") | s.startswith("00")
-    number = F.when(s.startswith("00"), F.substring(digits, 3, 64)).otherwise(digits)
+    """Digits, with a plus if the number has one or begins with 00. ``default_prefix`` (+1) goes before the
+    others, unless they begin with it already; those only get the plus."""
+    return _phone_number(T.js_trim(col), default_prefix)
+
+
+def _phone_number(s: Column, default_prefix: str | None) -> Column:
+    digits = F.regexp_replace(s, "[^0-9]", "")
+    zeros = digits.startswith("00") & (F.length(digits) > 2)
+    number = F.when(zeros, F.substring(digits, 3, 64)).otherwise(digits)
     good = (F.length(s) <= 40) & s.rlike(r"^\+?[0-9 .()/\x2D]+\z") & F.length(number).between(7, 15)
-    local = F.concat(F.lit(default_prefix), number) if default_prefix else number
-    return F.when(good, F.when(international, F.concat(F.lit("+"), number)).otherwise(local))
+    local = number
+    if default_prefix:
+        code = default_prefix.replace("+", "")
+        local = F.when(number.startswith(code), F.concat(F.lit("+"), number)).otherwise(F.concat(F.lit(default_prefix), number))
+    return F.when(good, F.when(s.startswith("+") | zeros, F.concat(F.lit("+"), number)).otherwise(local))
 
 
 def normalize_phone_extension(col: Column, default_prefix: str | None = None) -> Column:
     """STRUCT<number, ext> of a phone number with a trailing ext, x or #."""
-    shape = r"(?i)^(.*?)\s*(?:ext\.?|x|#)\s*(\d{1,8})\s*\z"
-    has = col.rlike(shape)
-    number = normalize_phone(F.when(has, F.regexp_extract(col, shape, 1)).otherwise(col), default_prefix)
-    return F.when(number.isNotNull(), F.struct(number.alias("number"), F.when(has, F.regexp_extract(col, shape, 2)).alias("ext")))
+    s = T.js_trim(col)
+    shape = rf"(?i)[{C.WS_TRIM}]*(?:ext|x|#)[{C.WS_TRIM}]*\.?:?[{C.WS_TRIM}]*([0-9]{{1,6}})[{C.WS_TRIM}]*\z"
+    has = s.rlike(shape)
+    number = _phone_number(F.when(has, T.js_trim(F.regexp_replace(s, shape, ""))).otherwise(s), default_prefix)
+    return F.when(number.isNotNull() & (F.length(s) <= 40), F.struct(number.alias("number"), F.when(has, F.regexp_extract(s, shape, 1)).alias("ext")))
 
 
 def phone_text(raw: str) -> str | None:
     """``normalize_phone`` of one Python string."""
     s = T.trim_text(raw)
     digits = re.sub("[^0-9]", "", s)
-    number = digits[2:] if s.startswith("00") else digits
+    zeros = digits.startswith("00") and len(digits) > 2
+    number = digits[2:] if zeros else digits
     if len(s) > 40 or not re.fullmatch(r"\+?[0-9 .()/-]+", s) or not 7 <= len(number) <= 15:
         return None
-    return ("+" if s.startswith(("+", "00")) else "") + number
+    return ("+" if zeros or s.startswith("+") else "") + number
 
 
 def canonical_string(col: Column, case: str | None = "lower") -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
@@ -75,11 +75,25 @@ def sanitize(col: Column, o: Sanitize = Sanitize()) -> Column:
     """One clean pass: trim, collapse white space, drop controls and invisible characters.
 
     White space is told apart before controls and invisible characters, on the text as it was, so a control
-    between two blanks leaves two separators.
+    between two blanks leaves two separators. A budget that native functions can't count goes to Python only
+    where the text is long enough to reach it.
     """
-    if not o.native:
+    if o.native:
+        return _sanitize_native(normal_form(col, o.form) if o.form else col, o)
+    small = all(len(x) <= 1 and x.isascii() for x in (o.replacement, o.collapse or ""))
+    if o.regex or not small:
         return per_text(lambda s: sanitize_text(s, o))(col)
-    x = normal_form(col, o.form) if o.form else col
+    x = normal_form(col, o.form) if o.form else col  # no step below makes it longer
+    fits = F.char_length(x) <= o.max_chars if o.max_chars is not None else F.lit(True)
+    if o.max_bytes is not None:
+        fits = fits & (F.octet_length(x) <= o.max_bytes)
+    counted = replace(o, form=None)
+    rest = per_text(lambda s: sanitize_text(s, counted))(F.when(~fits, x))
+    return F.when(fits, _sanitize_native(x, replace(counted, max_chars=None, max_bytes=None))).otherwise(rest)
+
+
+def _sanitize_native(col: Column, o: Sanitize) -> Column:
+    x = col
     if o.trim in ("both", "start"):
         x = F.regexp_replace(x, f"^[{C.WS}]+", "")
     if o.trim in ("both", "end") and o.collapse is not None:
@@ -94,6 +108,11 @@ def sanitize(col: Column, o: Sanitize = Sanitize()) -> Column:
         x = F.regexp_replace(x, f"[^{_class(o.allow)}{spared}{_class(o.replacement)}]", _quoted(o.replacement))
     if o.block is not None:
         x = F.regexp_replace(x, f"[{_class(o.block)}]" if o.collapse is None else f"[{_class(o.block)}&&[^{spared}]]", _quoted(o.replacement))
+    if o.allow is None and o.block is None:
+        # one search tells texts on which no step would do anything
+        todo = [f"^[{C.WS}]"] * (o.trim in ("both", "start")) + [f"[{C.WS}]\\z"] * (o.trim in ("both", "end")) + [f"[{gone}]"] * bool(gone)
+        todo += [] if o.collapse is None else [f"[{C.WS}]{{2}}", f"[{C.WS}&&[^ ]]"] if o.collapse == " " else [f"[{C.WS}]"]
+        x = F.when(col.rlike("|".join(todo)), x).otherwise(col) if todo else col
     if o.max_chars is not None:
         x = F.substring(x, 1, o.max_chars)
     if o.trim in ("both", "end") and o.collapse is None:

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from limpid.functions import detect as D
-from limpid.operators.policy import Policy, compile_policy
+from limpid.operators.policy import Policy, compile_policy, validate_text
 from limpid.operators.scrub import detect_all
 from limpid.operators.structured import Structured, process_json, walk
-from limpid.operators.validate import ISSUES, Field, validate_value
 
 
 @dataclass(frozen=True)
@@ -21,7 +20,6 @@ class CompiledPolicy:
 
     policy: Policy = Policy()
     structured: Structured | None = None
-    field: Field | None = None
 
     def process(self, col: Column) -> Column:
         return compile_policy(self.policy)(col)
@@ -44,10 +42,8 @@ class CompiledPolicy:
         return process_json(col, self.structured or Structured(), permissive)
 
     def validate(self, col: Column, kind: S.DataType = S.StringType()) -> Column:
-        """STRUCT<ok, issues> of one value; all is well without a field."""
-        if self.field is None:
-            return F.struct(F.lit(True).alias("ok"), F.array().cast(ISSUES).alias("issues"))
-        return validate_value(col, kind, self.field)
+        """STRUCT<ok, issues> of one value; all is well if the policy has no field."""
+        return validate_text(col, self.policy, kind)
 
     def detect(self, col: Column) -> Column:
         """Findings; none if the policy doesn't scrub."""

@@ -1,7 +1,9 @@
 """Field rules over structs, JSON, CSV and key/value records.
 
 With a known schema the rule of every leaf is found once, on the driver, and becomes part of
-one projection. JSON, CSV and key/value text in a column is walked in Arrow batches.
+one projection. Keys of maps choose among the rules row by row, natively for maps of text. Arrays and maps
+whose rules name single elements or need Python, and JSON, CSV and key/value text in a column, are
+walked in Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -26,8 +28,9 @@ from limpid.sources.codecs import parse_csv, stringify_csv
 
 @dataclass(frozen=True)
 class Rule:
-    """One field's pipeline: cap, replace, sanitise, case, coerce, scrub. A coercion that succeeds ends it."""
+    """One field's pipeline: replace, cap, replacements, sanitise, case, coerce, scrub. A coercion that succeeds ends it."""
 
+    replace: str | None = None  # stands for the whole value
     max_chars: int | None = None
     replacements: tuple[tuple[str, str], ...] = ()
     sanitize: T.Sanitize | None = None
@@ -36,10 +39,15 @@ class Rule:
     scrub: ScrubPolicy | None = None
     mask: dict | None = None
     drop: bool = False
-    default: str | None = None
+    default: object = None  # instead of a text that is blank once it is processed
     nested: Structured | None = None  # rules of its own for an object's or array's inside
     validate: Field | None = None
 
+    @property
+    def native(self) -> bool:
+        clean = self.sanitize is None or (self.sanitize.native and self.sanitize.form is None)
+        return clean and self.scrub is None and self.coerce != "date"
+
 
 @dataclass(frozen=True)
 class Structured:
@@ -48,7 +56,7 @@ class Structured:
     max_depth: int = 10
     max_keys: int = 10_000
     max_array: int = 100_000
-    max_string: int = 1_000_000
+    max_string: int = 1_000_000  # a longer text is cut
 
 
 class SanitizationError(ValueError):
@@ -62,28 +70,105 @@ class SanitizationError(ValueError):
 def matches(pattern: str, path: str, key: str) -> bool:
     if pattern == "*" or pattern in (path, key):
         return True
-    if pattern.endswith(".*"):
-        return path == pattern[:-2] or path.startswith(pattern[:-1])
-    return pattern.startswith("*.") and "." in path and key == pattern[2:]
+    if pattern.endswith(".*") and (path == pattern[:-2] or path.startswith(pattern[:-1])):
+        return True
+    return pattern.startswith("*.") and (path.endswith(pattern[1:]) or key.endswith(pattern[1:]))
 
 
 def find_rule(policy: Structured, path: str, key: str) -> Rule | None:
-    """An exact path or key wins, then the first pattern that matches, then the fallback."""
-    for name in (path, key):
-        if name in policy.rules:
-            return policy.rules[name]
+    """The first rule of that very path or key wins, then the first whose pattern matches, then the fallback."""
+    for name, rule in policy.rules.items():
+        if name in (path, key):
+            return rule
     return next((r for p, r in policy.rules.items() if matches(p, path, key)), policy.fallback)
 
 
-def apply_rule(col: Column, rule: Rule) -> Column:
-    x = F.substring(col, 1, rule.max_chars) if rule.max_chars else col
+def apply_rule(col: Column, rule: Rule | None, most: int = 1_000_000, blank: bool = True) -> Column:
+    """A text column by its rule. With ``blank``, a text that comes out blank gets the default."""
+    x = F.substring(col, 1, most)
+    if rule is None:
+        return x
+    if rule.replace is not None:
+        x = F.when(col.isNotNull(), F.lit(rule.replace))
+    x = F.substring(x, 1, rule.max_chars) if rule.max_chars else x
     x = T.compile_replacements(list(rule.replacements))(x)
     x = T.sanitize(x, rule.sanitize) if rule.sanitize else x
     x = {"lower": F.lower, "upper": F.upper, "fold": T.fold}[rule.case](x) if rule.case else x
     y = scrub(x, rule.scrub) if rule.scrub else x
     y = T.mask(y, start=rule.mask.get("start", 0), end=rule.mask.get("end", 0)) if rule.mask else y
-    y = F.coalesce(COERCIONS[rule.coerce](x), y) if rule.coerce else y
-    return F.when(col.isNull() | (T.js_trim(col) == ""), F.lit(rule.default)).otherwise(y) if rule.default is not None else y
+    y = F.coalesce(COERCIONS[rule.coerce](x), y) if rule.coerce and rule.coerce != "string" else y
+    return F.when(T.js_trim(y) == "", F.lit(rule.default).cast("string")).otherwise(y) if rule.default is not None and blank else y
+
+
+def _by_key(policy: Structured, path: str, key: Column, then: Callable[[Rule | None], Column]) -> Column:
+    """``then`` of the rule that a map's entry of that key has, chosen row by row."""
+    whole = F.concat(F.lit(f"{path}." if path else ""), key)
+    out = None
+    exact = [((whole == p) | (key == p), r) for p, r in policy.rules.items()]
+    for p, r in policy.rules.items():
+        hit = F.lit(p == "*")
+        if p.endswith(".*"):
+            hit = hit | (whole == p[:-2]) | whole.startswith(p[:-1])
+        if p.startswith("*."):
+            hit = hit | whole.endswith(p[1:])
+        exact.append((hit, r))
+    for hit, r in exact:
+        out = F.when(hit, then(r)) if out is None else out.when(hit, then(r))
+    return then(policy.fallback) if out is None else out.otherwise(then(policy.fallback))
+
+
+def _all_rules(policy: Structured) -> list[Rule]:
+    own = [*policy.rules.values(), *([policy.fallback] if policy.fallback else [])]
+    return own + [r for x in own if x.nested for r in _all_rules(x.nested)]
+
+
+def _kept_type(dt: S.DataType, policy: Structured, path: str, key: str) -> S.DataType:
+    """The type of a value inside an array or map: without the fields that are dropped wherever they are."""
+    if isinstance(dt, S.BinaryType):
+        return S.StringType()
+    if isinstance(dt, S.ArrayType):
+        return S.ArrayType(_kept_type(dt.elementType, policy, f"{path}[]", key))
+    if isinstance(dt, S.MapType):
+        return S.MapType(dt.keyType, _kept_type(dt.valueType, policy, f"{path}.", key))
+    if isinstance(dt, S.StructType):
+        kept = []
+        for f in dt:
+            at = f"{path}.{f.name}" if path else f.name
+            rule = find_rule(policy, at, f.name)
+            if not (rule and rule.drop):
+                nested = rule.nested if rule and rule.nested and isinstance(f.dataType, (S.StructType, S.ArrayType, S.MapType)) else None
+                kept.append(S.StructField(f.name, _kept_type(f.dataType, nested, "", "") if nested else _kept_type(f.dataType, policy, at, f.name)))
+        return S.StructType(kept or [dt[0]]) if len(dt) else dt
+    return dt
+
+
+def _plain(v: object) -> object:
+    """A row and what it holds as dictionaries and lists."""
+    if isinstance(v, Row):
+        return {k: _plain(x) for k, x in v.asDict().items()}
+    if isinstance(v, dict):
+        return {k: _plain(x) for k, x in v.items()}
+    return [_plain(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+
+def _shaped(v: object, dt: S.DataType) -> object:
+    """A processed value in the type it is to have; dropped elements and fields are null."""
+    if v is None or v is _DROP:
+        return None
+    if isinstance(dt, S.StructType):
+        return {f.name: _shaped(v.get(f.name), f.dataType) for f in dt}
+    if isinstance(dt, S.ArrayType):
+        return [_shaped(x, dt.elementType) for x in v]
+    if isinstance(dt, S.MapType):
+        return {k: _shaped(x, dt.valueType) for k, x in v.items()}
+    return str(v) if isinstance(dt, S.StringType) and not isinstance(v, str) else v
+
+
+def _in_python(col: Column, dt: S.DataType, policy: Structured, path: str, key: str, depth: int) -> Column:
+    """An array or map walked in Arrow batches, value by value."""
+    out = _kept_type(dt, policy, path, key)
+    run = F.udf(lambda v: None if v is None else _shaped(process_value(_plain(v), policy, path, key, depth), out), returnType=out, useArrow=True)
+    return run(col)
 
 
 def _walk(col: Column, dt: S.DataType, policy: Structured, path: str, key: str, depth: int) -> Column | None:
@@ -96,23 +181,41 @@ def _walk(col: Column, dt: S.DataType, policy: Structured, path: str, key: str,
     if rule and rule.nested and isinstance(dt, (S.StructType, S.ArrayType, S.MapType)):
         return _walk(col, dt, rule.nested, "", "", 0)
     if isinstance(dt, S.BinaryType):
-        return _walk(T.decode_bytes(col), S.StringType(), policy, path, key, depth)
+        return apply_rule(T.decode_bytes(col), rule, policy.max_string, blank=False)
     if isinstance(dt, S.StringType):
-        return apply_rule(col, rule) if rule else col
+        return apply_rule(col, rule, policy.max_string)
     if isinstance(dt, S.StructType):
         if len(dt) > policy.max_keys:
             raise SanitizationError("too-large")
         kept = [(f.name, _walk(col.getField(f.name), f.dataType, policy, f"{path}.{f.name}" if path else f.name, f.name, depth + 1)) for f in dt]
         return F.when(col.isNotNull(), F.struct(*[c.alias(n) for n, c in kept if c is not None])) if any(c is not None for _, c in kept) else None
-    if isinstance(dt, S.ArrayType):
+    if isinstance(dt, (S.ArrayType, S.MapType)):
+        native = all(r.native for r in _all_rules(policy)) and not any("[" in p for p in policy.rules)
+        if not native or (isinstance(dt, S.MapType) and not (isinstance(dt.keyType, S.StringType) and isinstance(dt.valueType, S.StringType))) or _holds_map(dt, S.ArrayType):
+            return _in_python(col, dt, policy, path, key, depth)
+        too_many = F.size(col) > (policy.max_array if isinstance(dt, S.ArrayType) else policy.max_keys)
+        safe = F.when(too_many, F.raise_error(F.lit("too-large"))).otherwise(col)
+        if isinstance(dt, S.MapType):
+            if depth + 1 > policy.max_depth:
+                raise SanitizationError("too-deep")
+            stay = F.map_filter(safe, lambda k, v: ~_by_key(policy, path, k, lambda r: F.lit(bool(r and r.drop))))
+            return F.transform_values(stay, lambda k, v: _by_key(policy, path, k, lambda r: apply_rule(v, r, policy.max_string)))
         if _walk(F.lit(None).cast(dt.elementType), dt.elementType, policy, f"{path}[]", key, depth + 1) is None:
-            return F.transform(col, lambda x: F.lit(None).cast(dt.elementType))
-        return F.transform(col, lambda x: _walk(x, dt.elementType, policy, f"{path}[]", key, depth + 1))
-    if isinstance(dt, S.MapType) and isinstance(dt.valueType, S.StringType):
-        return F.transform_values(col, lambda k, v: apply_rule(v, rule) if rule else v)
+            return F.transform(safe, lambda x: F.lit(None).cast(dt.elementType))
+        return F.transform(safe, lambda x: _walk(x, dt.elementType, policy, f"{path}[]", key, depth + 1))
     return col
 
 
+def _holds_map(dt: S.DataType, outer: type) -> bool:
+    """Whether an array holds a map or an array of its own, whose rules hang on the element's path."""
+    if not isinstance(dt, outer):
+        return False
+    inner = dt.elementType
+    while isinstance(inner, S.StructType) and len(inner) == 1:
+        inner = inner[0].dataType
+    return isinstance(inner, (S.MapType, S.ArrayType)) or (isinstance(inner, S.StructType) and any(isinstance(f.dataType, (S.MapType, S.ArrayType)) for f in inner))
+
+
 def walk(col: Column, dt: S.DataType, policy: Structured) -> Column | None:
     """A struct, array or map column as a record of its own; None if nothing of it stays."""
     return _walk(col, dt, policy, "", "", 0)
@@ -139,11 +242,17 @@ COERCE_TEXT: dict[str, Callable[[str], str | None]] = {
     "float": lambda s: None if (x := N.number_text(s)) is None else N.number_show(float(x)),
     "date": lambda s: N.format_date(N.parse_date(s)),
     "phone": N.phone_text,
+    "uuid": N.uuid_text,
+    "string": lambda s: None,
 }
 
 
-def apply_rule_text(s: str, rule: Rule) -> str:
-    x = s[: rule.max_chars] if rule.max_chars else s
+def apply_rule_text(s: str, rule: Rule | None, most: int = 1_000_000) -> str:
+    x = s[:most]
+    if rule is None:
+        return x
+    x = x if rule.replace is None else rule.replace
+    x = x[: rule.max_chars] if rule.max_chars else x
     for a, b in rule.replacements:
         x = x.replace(a, b) if a else x
     x = T.sanitize_text(x, rule.sanitize) if rule.sanitize else x
@@ -161,19 +270,20 @@ _DROP = object()
 
 
 def process_value(v: object, policy: Structured, path: str = "", key: str = "", depth: int = 0) -> object:
+    """A value of JSON's kinds by its rules. A dropped text is ``_DROP``, which arrays turn into null."""
     if depth > policy.max_depth:
         raise SanitizationError("too-deep")
-    rule = find_rule(policy, path, key) if path else None
-    if rule and rule.drop:
-        return _DROP
-    if rule and rule.nested and isinstance(v, (dict, list)):
-        return process_value(v, rule.nested)
-    if isinstance(v, str):
-        if len(v) > policy.max_string:
+    if isinstance(v, (bytes, bytearray)):
+        rule = find_rule(policy, path, key)
+        if len(v) > 8_000_000:
             raise SanitizationError("too-large")
-        if rule and rule.default is not None and not v.strip():
-            return rule.default
-        return apply_rule_text(v, rule) if rule else v
+        return _DROP if rule and rule.drop else apply_rule_text(bytes(v).decode(errors="replace").removeprefix("\ufeff"), rule, policy.max_string)
+    if isinstance(v, str):
+        rule = find_rule(policy, path, key)
+        if rule and rule.drop:
+            return _DROP
+        out = apply_rule_text(v, rule, policy.max_string)
+        return rule.default if rule and rule.default is not None and not T.trim_text(out) else out
     if isinstance(v, list):
         if len(v) > policy.max_array:
             raise SanitizationError("too-large")
@@ -182,8 +292,17 @@ def process_value(v: object, policy: Structured, path: str = "", key: str = "",
     if isinstance(v, dict):
         if len(v) > policy.max_keys:
             raise SanitizationError("too-large")
-        done = ((k, process_value(x, policy, f"{path}.{k}" if path else k, k, depth + 1)) for k, x in v.items())
-        return {k: x for k, x in done if x is not _DROP}
+        out = {}
+        for k, x in v.items():
+            at = f"{path}.{k}" if path else str(k)
+            rule = find_rule(policy, at, str(k))
+            if rule and rule.drop:
+                continue
+            inside = rule.nested if rule and rule.nested and isinstance(x, (dict, list)) else None
+            done = process_value(x, inside) if inside else process_value(x, policy, at, str(k), depth + 1)
+            if done is not _DROP:
+                out[k] = done
+        return out
     return v
 
 
@@ -209,59 +328,87 @@ def process_json_text(s: str, policy: Structured) -> str:
     return json.dumps(None if out is _DROP else out, ensure_ascii=False, separators=(",", ":"))
 
 
-def process_json(col: Column, policy: Structured, permissive: bool = True) -> Column:
-    """JSON text in, JSON text out; a bad document gives null, or fails unless ``permissive``."""
-
+def _permissive(fn: Callable[[str], str], permissive: bool) -> Callable[[str], str | None]:
     def run(s: str) -> str | None:
         try:
-            return process_json_text(s, policy)
+            return fn(s)
         except SanitizationError:
             if not permissive:
                 raise
             return None
 
-    return T.per_text(run)(col)
-
+    return run
 
-def process_json_detailed(col: Column, policy: Structured) -> Column:
-    """STRUCT<text, error>: where a document is bad its text is null and ``error`` holds the code, never data."""
 
+def _detailed(fn: Callable[[str], str]) -> Callable[[Column], Column]:
     @F.pandas_udf("struct<text:string,error:string>")
     def run(s: pd.Series) -> pd.DataFrame:
         rows = []
         for x in s:
             try:
-                rows.append((None if x is None else process_json_text(x, policy), None))
+                rows.append((None if x is None else fn(x), None))
             except SanitizationError as e:
                 rows.append((None, e.code))
         return pd.DataFrame(rows, columns=["text", "error"], dtype=object)
 
-    return run(col)
+    return run
 
 
-def process_csv_text(s: str, policy: Structured, delimiter: str = ",", header: bool = True, max_rows: int = 100_000) -> str:
-    rows = parse_csv(s, delimiter)
-    if len(rows) > max_rows:
+def process_json(col: Column, policy: Structured, permissive: bool = True) -> Column:
+    """JSON text in, JSON text out; a bad document gives null, or fails unless ``permissive``."""
+    return T.per_text(_permissive(lambda s: process_json_text(s, policy), permissive))(col)
+
+
+def process_json_detailed(col: Column, policy: Structured) -> Column:
+    """STRUCT<text, error>: where a document is bad its text is null and ``error`` holds the code, never data."""
+    return _detailed(lambda s: process_json_text(s, policy))(col)
+
+
+def process_csv_text(
+    s: str, policy: Structured = Structured(), delimiter: str = ",", header: bool = True, max_rows: int = 100_000, max_cell: int = 1_000_000,
+    columns: list[Rule | None] | None = None,
+) -> str:
+    """CSV text by a rule for each column: ``columns`` by place, or else the policy's by the very name, which without a
+    header is the place. Other columns have the fallback, cells beyond the first row none. A dropped cell is empty;
+    a cell is cut at ``max_cell``; defaults don't apply."""
+    try:
+        rows = parse_csv(s, delimiter)
+    except ValueError:
+        raise SanitizationError("invalid-csv") from None
+    if len(rows) > max_rows + header:
         raise SanitizationError("too-large")
-    names = rows[0] if header and rows else [str(k) for k in range(max(map(len, rows), default=0))]
-    rules = [policy.rules.get(n) or policy.rules.get(str(k)) or find_rule(policy, n, n) for k, n in enumerate(names)]
+    if not rows:
+        return ""
+    names = rows[0] if header else [str(k) for k in range(len(rows[0]))]
+    if columns is None:
+        rules = [policy.rules.get(n, policy.fallback) for n in names]
+    else:
+        rules = [(columns[k] if k < len(columns) else None) or policy.fallback for k in range(len(names))]
     out = rows[:1] if header else []
     for row in rows[len(out) :]:
-        out.append([("" if r.drop else apply_rule_text(c, r)) if k < len(rules) and (r := rules[k]) else c for k, c in enumerate(row)])
+        own = [rules[k] if k < len(rules) else None for k in range(len(row))]
+        out.append(["" if r and r.drop else apply_rule_text(c, r, max_cell) for c, r in zip(row, own)])
     return stringify_csv(out, delimiter)
 
 
-def process_csv(col: Column, policy: Structured, **options) -> Column:
-    return T.per_text(lambda s: process_csv_text(s, policy, **options))(col)
+def process_csv(col: Column, policy: Structured = Structured(), permissive: bool = True, **options) -> Column:
+    """CSV text in, CSV text out; bad or too long text gives null, or fails unless ``permissive``."""
+    return T.per_text(_permissive(lambda s: process_csv_text(s, policy, **options), permissive))(col)
+
+
+def process_csv_detailed(col: Column, policy: Structured = Structured(), **options) -> Column:
+    """STRUCT<text, error>, as ``process_json_detailed``."""
+    return _detailed(lambda s: process_csv_text(s, policy, **options))(col)
 
 
 def process_kv_text(s: str, policy: Structured, separator: str = " ", equals: str = "=") -> str:
+    """Key/value text by the rule of the very key, or else the fallback; what holds no ``equals`` stays as it is."""
     out = []
     for entry in s.split(separator):
         k, eq, v = entry.partition(equals)
-        rule = find_rule(policy, k, k) if eq else None
+        rule = policy.rules.get(k, policy.fallback) if eq else None
         if not (rule and rule.drop):
-            out.append(f"{k}{eq}{apply_rule_text(v, rule)}" if rule else entry)
+            out.append(f"{k}{eq}{apply_rule_text(v, rule)}" if eq else entry)
     return separator.join(out)
 
 

@@ -213,7 +213,7 @@ _add("validation_report", "customer", None, None, lambda df: df.select(F.explode
 
 # Policies and profiles
 _col("policy_free_text", "documents", "doc_id", lambda: P.process_text(_text(), P.PROFILES["freeText"]), None)
-_col("policy_pipeline", "documents", "doc_id", lambda: P.process_text(_text(), P.Policy(case="lower", scrub=None, truncate=50)), f"substr(lower({_clean}), 1, 50)")
+_col("policy_pipeline", "documents", "doc_id", lambda: P.process_text(_text(), P.Policy(case="lower", scrub=None, truncate=P.Truncate(50))), f"CASE WHEN length({_clean}) > 50 THEN substr(lower({_clean}), 1, 50) || '…' ELSE lower({_clean}) END")
 _add("compiled_policy", "customer", None, "SELECT c_custkey, '[' || lower(c_name) || ']' AS who FROM customer",
      lambda df: CompiledPolicy(P.Policy(case="lower", scrub=None)).process_value(df.select("c_custkey", F.concat(F.lit(" ["), F.col("c_name"), F.lit("]")).alias("who"))))
 _profile_sql = {"url": f"substr({_clean}, 1, 2048)", "humanName": f"lower(substr({_clean}, 1, 100))", "email": f"lower(substr({_clean}, 1, 254))"}

@@ -13,7 +13,7 @@ from limpid.operators.validate import Field, compile_validator
 
 TEXTS = [
     "1,000.50", "1.000,50", "+007.500", "1E3", "-0.0", "abc", "1.2.3", "", "1e", "1,000", "1,000,000", ".5", "-.50", "1E+05", " 12 ", "0x10", "1_000", "+5",
-    "99999999999999999999", "1e400", "yes", "Off", "maybe", "2024-03-05", "13/45/2024", "1700000000", "+1 (415) 555-0132", "0041 44 668 18 00", "12", None, " 7 ",
+    "99999999999999999999", "1e400", "{550E8400-E29B-41D4-A716-446655440000}", "(00) 41 44 668 18 00", "550e8400e29b41d4a71644665544000", "yes", "Off", "maybe", "2024-03-05", "13/45/2024", "1700000000", "+1 (415) 555-0132", "0041 44 668 18 00", "12", None, " 7 ",
 ]
 
 
@@ -75,7 +75,7 @@ def test_validate_record(spark):
 
 def test_compiled_policy(spark):
     df = spark.createDataFrame([(1, "  A@b.co ", ("A@b.co", "x"))], "id int, s string, r struct<mail:string,key:string>")
-    p = CompiledPolicy(P.Policy(case="lower"), S.Structured({"mail": S.Rule(case="lower"), "key": S.Rule(drop=True)}), Field(format="email"))
+    p = CompiledPolicy(P.Policy(case="lower", validate=Field(format="email")), S.Structured({"mail": S.Rule(case="lower"), "key": S.Rule(drop=True)}))
     assert p.process_value(df).first().asDict(recursive=True) == {"id": 1, "s": "[REDACTED]", "r": {"mail": "a@b.co"}}
     row = df.select(p.validate(F.col("r.mail")).alias("a"), p.validate(F.col("s")).alias("b"), p.detect(F.col("s")).alias("c"), p.process_json(F.lit('{"mail":"X@Y.CO","key":1}')).alias("d")).first()
     assert (row["a"]["ok"], row["b"]["ok"], [f["type"] for f in row["c"]], row["d"]) == (True, False, ["email"], '{"mail":"x@y.co"}')
