@@ -59,7 +59,7 @@ class Sanitize:
 
     @property
     def native(self) -> bool:
-        budget = self.max_bytes is not None or (self.max_chars is not None and (len(self.collapse or " ") != 1 or len(self.replacement) > 1 or self.collapse is None))
+        budget = self.max_bytes is not None or (self.max_chars is not None and (self.collapse is None or len(self.collapse) != 1 or len(self.replacement) > 1))
         return not (budget or self.regex)
 
 
@@ -259,11 +259,13 @@ def filter_alnum(col: Column, extra: str = "") -> Column:
 
 
 def mask(col: Column, char: str = "*", start: int = 0, end: int = 0, keep_length: bool = True) -> Column:
-    """Masked but for ``start`` and ``end`` characters; a text no longer than both comes back as it is."""
+    """Masked but for ``start`` and ``end`` characters, or without ``keep_length`` eight marks; a text no longer
+    than both comes back as it is."""
     n = F.char_length(col)
-    inner = F.repeat(F.lit(char), n - start - end) if keep_length else F.lit(char * 8)
+    if not keep_length:
+        return F.when(n <= start + end, col).when(col.isNotNull(), F.lit(char * 8))
     tail = F.substring(col, n - end + 1, F.lit(end)) if end else F.lit("")
-    return F.when(n <= start + end, col).otherwise(F.concat(F.substring(col, 1, start), inner, tail))
+    return F.when(n <= start + end, col).otherwise(F.concat(F.substring(col, 1, start), F.repeat(F.lit(char), n - start - end), tail))
 
 
 def redact(col: Column, placeholder: str = "[REDACTED]") -> Column:

@@ -177,5 +177,7 @@ def detect_all(col: Column, policy: ScrubPolicy = ScrubPolicy()) -> Column:
 
 def findings_report(df: DataFrame, column: str, policy: ScrubPolicy = ScrubPolicy()) -> DataFrame:
     """(type, findings, rows): how often each type was found."""
-    each = df.select(F.monotonically_increasing_id().alias("r"), F.explode(detect_all(F.col(column), policy)).alias("f"))
-    return each.groupBy(F.col("f.type").alias("type")).agg(F.count("*").alias("findings"), F.countDistinct("r").alias("rows"))
+    kinds = detect_all(F.col(f"`{column}`"), policy)["type"]
+    each = df.select(kinds.alias("kinds")).select(F.explode(F.array_distinct("kinds")).alias("type"), "kinds")
+    counted = each.select("type", F.size(F.filter("kinds", lambda k: k == F.col("type"))).cast("long").alias("n"))
+    return counted.groupBy("type").agg(F.sum("n").alias("findings"), F.count("*").alias("rows"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,23 +14,15 @@ from limpid.functions import text as T
 from limpid.operators import policy as P
 from limpid.operators.compiled import CompiledPolicy
 from limpid.operators import structured as S
-from limpid.operators.scrub import Action, ScrubPolicy, findings_report, scrub, scrub_detailed
 from limpid.operators.validate import Field, validate
+from limpid.plans.base import Query, clean_sql, shared_path, table
 from limpid.sources import codecs
 from limpid.streaming import apply_policy
 
-Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table, dealt out anew if its files make fewer tasks than there are cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
-
-
 def _add(name: str, source: str, columns: Callable[[DataFrame], list] | None, sql: str | None, frame: Callable[[DataFrame], DataFrame] | None = None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, source)
@@ -51,8 +42,7 @@ def _text() -> F.Column:
     return F.col("text")
 
 
-_trim = f"regexp_replace(text, '^[{C.WS}]+|[{C.WS}]+$', '', 'g')"
-_clean = f"regexp_replace(regexp_replace({_trim}, '[{C.WS}]+', ' ', 'g'), '[{C.CONTROLS}{C.INVISIBLE}]', '', 'g')"
+_clean = clean_sql()
 
 # Sanitise
 _col("sanitize_documents", "documents", "doc_id", lambda: T.sanitize(_text()), _clean)
@@ -63,18 +53,30 @@ _col("sanitize_keep_space", "documents", "doc_id", lambda: T.sanitize(_text(), T
 _col("sanitize_max_chars", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(max_chars=100)), f"substring({_clean}, 1, 100)")
 _col("sanitize_allow", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(allow="abcdefghijklmnopqrstuvwxyz")), f"regexp_replace({_clean}, '[^a-z ]', '', 'g')")
 _col("sanitize_block", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(block="aeiou", replacement="*")), f"regexp_replace({_clean}, '[aeiou]', '*', 'g')")
-_col("sanitize_max_bytes", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(max_bytes=64)), None)
-_col("sanitize_form_nfkc", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(form="NFKC")), None)
+_col("sanitize_max_bytes", "documents", "doc_id", lambda: T.sanitize(_text(), T.Sanitize(max_bytes=64)),
+     f"substr({_clean}, 1, list_max(list_filter(range(0, 65), lambda k: strlen(substr({_clean}, 1, k)) <= 64)))")
+_col("sanitize_form_nfkc", "documents", "doc_id", lambda: T.sanitize(F.concat(F.lit("ﬁ １² e\u0301 "), _text()), T.Sanitize(form="NFKC")), "'fi 12 é ' || " + _clean.replace("text", "nfc_normalize(text)") + "")
 _col("sanitize_bytes", "documents", "doc_id", lambda: T.sanitize_bytes(F.encode(_text(), "UTF-8")), _clean)
-_add("utf8_lengths", "documents", lambda df: ["doc_id", F.char_length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), T.is_valid_utf8(F.encode(_text(), "UTF-8")).alias("valid")],
-     "SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, true AS valid FROM documents")
+
+
+def _maybe_broken() -> F.Column:
+    """Bytes: a character cut off, a stray one, or none amiss behind a byte order mark or not."""
+    kind = F.col("doc_id") % 4
+    return F.when(kind == 1, F.unhex(F.lit("6162E282"))).when(kind == 2, F.unhex(F.lit("FF78"))).when(kind == 3, F.unhex(F.lit("EFBBBFC3A9"))).otherwise(F.unhex(F.lit("C3A9")))
+
+
+_add("utf8_lengths", "documents", lambda df: ["doc_id", F.char_length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), T.is_valid_utf8(_maybe_broken()).alias("valid"), T.decode_bytes(_maybe_broken()).alias("decoded")],
+     "SELECT doc_id, length(text) AS chars, strlen(text) AS bytes, doc_id % 4 <> 1 AND doc_id % 4 <> 2 AS valid, CASE doc_id % 4 WHEN 1 THEN 'ab' || chr(65533) WHEN 2 THEN chr(65533) || 'x' ELSE 'é' END AS decoded FROM documents")
 
 # Unicode and case
 _col("is_ascii", "documents", "doc_id", lambda: T.is_ascii(_text()), r"NOT regexp_matches(text, '[^\x00-\x7F]')")
 _col("lower", "documents", "doc_id", lambda: T.lower(_text()), "lower(text)")
 _col("upper", "documents", "doc_id", lambda: T.upper(_text()), "replace(upper(text), 'ẞ', 'SS')")
-_col("fold", "documents", "doc_id", lambda: T.fold(_text()), "CASE WHEN regexp_matches(text, '[ßİſK]') THEN replace(replace(replace(lower(text), 'ß', 'ss'), 'ſ', 's'), 'K', 'k') ELSE lower(text) END")
-_add("equal_fold", "documents", lambda df: ["doc_id", T.equal_fold(_text(), F.upper("text")).alias("value")], None)
+_fold = "CASE WHEN regexp_matches(text, '[ßİſK]') THEN replace(replace(replace(lower(text), 'ß', 'ss'), 'ſ', 's'), 'K', 'k') ELSE lower(text) END"
+_folded = "replace(replace(replace(lower(text), 'ß', 'ss'), 'ſ', 's'), 'K', 'k') || 'ss'"
+_col("fold", "documents", "doc_id", lambda: T.fold(_text()), _fold)
+_add("equal_fold", "documents", lambda df: ["doc_id", T.equal_fold(_text(), F.when(F.col("doc_id") % 2 == 0, F.upper("text")).otherwise(F.concat("text", F.lit("ß")))).alias("value"), T.equal_fold(F.concat(_text(), F.lit("ß")), F.concat(F.upper("text"), F.lit("SS"))).alias("spelled")],
+     f"SELECT doc_id, doc_id % 2 = 0 AND {_fold} = {_fold.replace('text', 'replace(upper(text), chr(7838), chr(83) || chr(83))')} AS value, {_folded} = lower(replace(upper(text), chr(7838), chr(83) || chr(83))) || 'ss' AS spelled FROM documents")
 _col("normal_form_nfc", "documents", "doc_id", lambda: T.normal_form(_text(), "NFC"), "nfc_normalize(text)")
 _col("strip_diacritics", "documents", "doc_id", lambda: T.strip_diacritics(_text()), "strip_accents(text)")
 
@@ -112,12 +114,12 @@ _col("to_float", "customer", "c_custkey", lambda: N.to_float(F.col("c_acctbal").
 _col("to_boolean", "labels", "doc_id", lambda: N.to_boolean(F.col("quality")), "quality = 1")
 _col("to_date", "orders", "o_orderkey", lambda: N.to_date(F.date_format("o_orderdate", "dd.MM.yyyy")).cast("date"), "CAST(o_orderdate AS DATE)")
 _col("number_to_string", "part", "p_partkey", lambda: N.number_to_string(F.col("p_retailprice")), r"regexp_replace(CAST(p_retailprice AS VARCHAR), '\.0$', '')")
-_col("coerce_with_fallback", "orders", "o_orderkey", lambda: N.coerce_with_fallback(F.col("o_orderpriority"), 7), "CAST(7 AS INTEGER)")
-ORACLES["coerce_with_fallback"] = "SELECT o_orderkey, CAST(7 AS BIGINT) AS value FROM orders"
+_col("coerce_with_fallback", "orders", "o_orderkey", lambda: N.coerce_with_fallback(F.substring("o_orderpriority", 1, F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(9)), 7),
+     "CAST(CASE WHEN o_orderkey % 2 = 0 AND regexp_matches(o_orderpriority, '^[0-9]') THEN substr(o_orderpriority, 1, 1) ELSE '7' END AS BIGINT)")
 
 # Transforms
 _col("mask", "customer", "c_custkey", lambda: T.mask(F.col("c_name"), start=2, end=3), "substr(c_name, 1, 2) || repeat('*', length(c_name) - 5) || right(c_name, 3)")
-_col("redact", "customer", "c_custkey", lambda: T.redact(F.col("c_name")), "'[REDACTED]'")
+_col("redact", "customer", "c_custkey", lambda: T.redact(F.when(F.col("c_acctbal") > 0, F.col("c_name")), "<" + "hidden>"), "CASE WHEN c_acctbal > 0 THEN '<hidden>' END")
 _col("hash_value", "customer", "c_custkey", lambda: T.hash_value(F.col("c_name"), length=16), "left(sha256(c_name), 16)")
 
 
@@ -130,7 +132,9 @@ _col("hmac_value", "customer", "c_custkey", lambda: T.hmac_value(F.col("c_name")
 _col("tokenize", "customer", "c_custkey", lambda: T.tokenize(F.col("c_name")), f"'tok_' || left({_hmac_sql('c_name', T.DEFAULT_TOKEN_KEY)}, 16)")
 _add("token_vault", "customer", None, f"SELECT DISTINCT 'tok_' || left({_hmac_sql('c_mktsegment', T.DEFAULT_TOKEN_KEY)}, 16) AS token, c_mktsegment AS value FROM customer", lambda df: T.vault(df, "c_mktsegment"))
 _col("truncate", "documents", "doc_id", lambda: T.truncate(_text(), 20), "CASE WHEN length(text) > 20 THEN substr(text, 1, 20) || '…' ELSE text END")
-_col("truncate_bytes", "documents", "doc_id", lambda: T.truncate(_text(), 20, by_bytes=True), None)
+_fit = "list_max(list_filter(range(0, 18), lambda k: strlen(substr(text, 1, k)) <= 17))"
+_col("truncate_bytes", "documents", "doc_id", lambda: T.truncate(_text(), 20, by_bytes=True),
+     f"CASE WHEN strlen(text) <= 20 THEN text ELSE substr(text, 1, {_fit}) || CASE WHEN strlen(substr(text, 1, {_fit})) < 17 THEN chr(65533) ELSE '' END || '…' END")
 _col("replace_all", "documents", "doc_id", lambda: T.compile_replacements([("the", "THE"), ("", "x"), ("THE ", "_")])(_text()), "replace(replace(text, 'the', 'THE'), 'THE ', '_')")
 _col("replace_pattern", "documents", "doc_id", lambda: T.replace_pattern(_text(), "([aeiou])n", "<$1>"), r"regexp_replace(text, '([aeiou])n', '<\1>')")
 _col("filter_alnum", "pages", "page_id", lambda: T.filter_alnum(F.col("url"), "-"), "regexp_replace(url, '[^A-Za-z0-9-]', '', 'g')")
@@ -154,27 +158,15 @@ _col("luhn_check", "customer", "c_custkey", lambda: D.luhn_check(F.concat(F.lit(
 _iban = "'GB' || lpad(CAST(c_custkey % 98 AS VARCHAR), 2, '0') || 'NWBK' || lpad(CAST(c_custkey AS VARCHAR), 14, '0')"
 _col("iban_check", "customer", "c_custkey", lambda: D.iban_check(F.concat(F.lit("GB"), F.lpad((F.col("c_custkey") % 98).cast("string"), 2, "0"), F.lit("NWBK"), F.lpad(F.col("c_custkey").cast("string"), 14, "0"))),
      "CAST('23321120' || lpad(CAST(c_custkey AS VARCHAR), 14, '0') || '1611' || lpad(CAST(c_custkey % 98 AS VARCHAR), 2, '0') AS HUGEINT) % 97 = 1")
-for _level in ("strict", "balanced", "loose"):
-    _add(f"detect_all_{_level}", "documents", None, None, lambda df, lv=_level: df.select("doc_id", F.explode(D.detect(_text(), D.Detect.of(lv))).alias("f")).select("doc_id", "f.*"))
-_add("detect_secrets", "documents", None, None, lambda df: df.select("doc_id", F.explode(D.detect(_text(), D.Detect.of(pii=False))).alias("f")).select("doc_id", "f.*"))
-_add("findings_report", "documents", None, None, lambda df: findings_report(df, "text"))
 _add("emails_by_source_rollup", "documents", None,
      f"SELECT source, lang, CAST(sum(len(regexp_extract_all(text, '{D.PATTERNS['email']}'))) AS BIGINT) AS emails, count(*) AS docs FROM documents GROUP BY ROLLUP (source, lang)",
      lambda df: df.select("source", "lang", F.size(D.extract(_text(), "email")).alias("n")).rollup("source", "lang").agg(F.sum("n").alias("emails"), F.count("*").alias("docs")))
 
-# Scrubbing
-_col("scrub_documents", "documents", "doc_id", lambda: scrub(_text()), None)
-_add("scrub_detailed", "documents", lambda df: ["doc_id", scrub_detailed(_text()).alias("r")], None, lambda df: df.select("doc_id", scrub_detailed(_text()).alias("r")).select("doc_id", "r.text", F.size("r.findings").alias("n"), "r.redactedCount"))
-for _name in ("mask", "hash", "tokenize", "truncate", "drop", "keep"):
-    _col(f"scrub_{_name}", "documents", "doc_id", lambda a=_name: scrub(_text(), ScrubPolicy(default=Action(a))), None)
-_only_email = {k: Action(enabled=False) for k in (*D.PII_TYPES, *D.SECRET_TYPES) if k != "email"}
-_col("scrub_email_only", "documents", "doc_id", lambda: scrub(_text(), ScrubPolicy(types=_only_email)), f"regexp_replace(text, '{D.PATTERNS['email']}', '[REDACTED]', 'g')")
-_col("scrub_mixed_levels", "documents", "doc_id", lambda: scrub(_text(), ScrubPolicy(types={"phone": Action(level="strict"), "license": Action(level="loose"), "card": Action("hmac", key="k")})), None)
-
 # Structured data
 _json = S.Structured({"k": S.Rule(drop=True)})
 _col("process_json_identity", "events", "event_id", lambda: S.process_json(F.col("props"), S.Structured()), "replace(props, ': ', ':')")
-_col("process_json_drop", "events", "event_id", lambda: S.process_json(F.col("props"), _json), "'{}'")
+_col("process_json_drop", "events", "event_id", lambda: S.process_json(F.concat(F.lit('{"a":{"b":"'), F.col("event_type"), F.lit('","k":1},"k":"x","l":["'), F.col("event_type"), F.lit('"],"props":'), F.col("props"), F.lit("}")), _json),
+     """'{"a":{"b":"' || event_type || '"},"l":["' || event_type || '"],"props":{}}'""")
 _add("process_json_detailed", "events", None, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN replace(props, ': ', ':') END AS value, CASE WHEN event_id % 2 <> 0 THEN 'invalid-json' END AS error FROM events",
      lambda df: df.select("event_id", S.process_json_detailed(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat("props", F.lit("{"))), S.Structured()).alias("r")).select("event_id", F.col("r.text").alias("value"), "r.error"))
 
@@ -209,17 +201,15 @@ _add("validate_record", "customer", None, "SELECT c_custkey, c_acctbal >= 0 AS o
 _add("process_frame_nested", "customer", None, "SELECT c_custkey, upper(c_mktsegment) AS segment, c_nationkey AS nation FROM customer",
      lambda df: S.process_frame(df.select("c_custkey", F.struct(F.lower("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name")).alias("r")),
                                 S.Structured({"r": S.Rule(nested=S.Structured({"segment": S.Rule(case="upper"), "name": S.Rule(drop=True)}))})).select("c_custkey", "r.*"))
-_add("validation_report", "customer", None, None, lambda df: df.select(F.explode(validate(df, _schema)["issues"]).alias("i")).groupBy("i.path", "i.code").count())
+_add("validation_report", "customer", None, """
+    SELECT path, code, count(*) AS count FROM (
+        SELECT unnest([CASE WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN {'path': 'c_acctbal', 'code': 'range'} END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN {'path': 'c_mktsegment', 'code': 'enum'} END, CASE WHEN c_custkey < 1 THEN {'path': 'c_custkey', 'code': 'range'} END]) AS i FROM customer
+    ) t, LATERAL (SELECT i.path AS path, i.code AS code) WHERE i IS NOT NULL GROUP BY path, code""", lambda df: df.select(F.explode(validate(df, _schema)["issues"]).alias("i")).groupBy("i.path", "i.code").count())
 
 # Policies and profiles
-_col("policy_free_text", "documents", "doc_id", lambda: P.process_text(_text(), P.PROFILES["freeText"]), None)
 _col("policy_pipeline", "documents", "doc_id", lambda: P.process_text(_text(), P.Policy(case="lower", scrub=None, truncate=P.Truncate(50))), f"CASE WHEN length({_clean}) > 50 THEN substr(lower({_clean}), 1, 50) || '…' ELSE lower({_clean}) END")
 _add("compiled_policy", "customer", None, "SELECT c_custkey, '[' || lower(c_name) || ']' AS who FROM customer",
      lambda df: CompiledPolicy(P.Policy(case="lower", scrub=None)).process_value(df.select("c_custkey", F.concat(F.lit(" ["), F.col("c_name"), F.lit("]")).alias("who"))))
-_profile_sql = {"url": f"substr({_clean}, 1, 2048)", "humanName": f"lower(substr({_clean}, 1, 100))", "email": f"lower(substr({_clean}, 1, 254))"}
-for _name in P.PROFILES:
-    _col(f"profile_{_name}", "conversations", "conv_id", lambda p=_name: P.process_text(_text(), P.PROFILES[p]), _profile_sql.get(_name))
-
 # Around the row-wise core: deduplication by canonical key, joins on hashed keys, streams
 _add("dedupe_canonical", "documents", None, f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {ORACLES['canonical_string'][len('SELECT doc_id, '):].split(' AS value')[0]} AS k FROM documents) GROUP BY k",
      lambda df: df.select("doc_id", F.xxhash64(N.canonical_string(_text())).alias("h"), F.md5(N.canonical_string(_text())).alias("k")).groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies"))
@@ -238,10 +228,7 @@ ORACLES["join_on_hashed_key"] = "SELECT c_mktsegment, count(*) AS orders FROM or
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sanitiser over a stream of the documents' files, written to the shared folder and read back."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="limpid-stream-")
-    path = f"{root.rstrip('/')}/limpid-stream/{uuid.uuid4().hex}"
+    path = shared_path(spark, "limpid-stream")
     source = table(spark, sf_dir, "documents")
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
@@ -255,3 +242,9 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_sanitize"] = _streamed
 ORACLES["stream_sanitize"] = ORACLES["sanitize_documents"]
+
+from limpid.plans import finding_queries, more_queries  # noqa: E402
+
+for _more in (finding_queries, more_queries):
+    QUERIES |= _more.QUERIES
+    ORACLES |= _more.ORACLES
