@@ -17,12 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import sliced
+from limpid.llm.common import bounded_sample, extended, sliced
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 DIM = 1 << 16
 CACHED_WORDS = 150_000
+LONG = 40  # characters up to which a word is kept in a worker's cache
 SEGMENT = 64
 
 
@@ -44,8 +45,8 @@ _hashes = _Hashes()
 
 
 def word_features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Hashed affix, n-gram and lexicon features of one lower-cased word."""
-    w = f"^{word}$" if len(word) <= 40 else f"^{word[:20]}~{word[-20:]}$"
+    """Hashed affix, n-gram and lexicon features of one lower-cased word, whole however long."""
+    w = f"^{word}$"
     names = [f"p{w[1:k]}" for k in (2, 3, 4)] + [f"s{w[-k:-1]}" for k in (2, 3, 4)]
     names += [w[k : k + 2] for k in range(len(w) - 1)] + [w[k : k + 3] for k in range(len(w) - 2)]
     names += [f"lex{k}" for k in lexicon.get(word, ())] or ["lex-"]
@@ -86,7 +87,8 @@ class Crf:
             new = np.add.reduceat(self.weights[flat], np.cumsum(size) - size, axis=0) / np.sqrt(size)[:, None].astype(np.float32)
             room = min(len(new), CACHED_WORDS - base)
             self.rows[base : base + room] = new[:room]
-            self.cache.update(x for x in late.items() if x[1] < CACHED_WORDS)
+            # a longer word keeps its place in the table but is scored again
+            self.cache.update((w if len(w) <= LONG else f"{n}", n) for w, n in late.items() if n < CACHED_WORDS)
             if room < len(new):
                 rows = np.vstack([self.rows[: base + room], new[room:]])
         return rows[np.array(at, np.int64)]
@@ -272,29 +274,19 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 120, words_per_lang: int = 30_000, max_langs: int = 256) -> Crf:
-    """Train on a sample of the labelled rows that are not held out: for each language whole
-    texts, lowest hash first, until ``docs_per_lang`` or ``words_per_lang`` is reached.
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 120, bytes_per_lang: int = 200_000, max_langs: int = 256,
+) -> Crf:
+    """Train on a sample of the labelled rows that are not held out: of each language whole texts, lowest hash of id
+    and text first, until ``docs_per_lang`` or ``bytes_per_lang`` is reached. Longer texts are not taken.
 
-    ``max_langs`` bounds the label set: more distinct values raise ValueError.
+    Equal rows count once, rows without text or language are left out, and a null id is like any other; so the
+    driver gets no more than the bounds say. ``max_langs`` bounds the label set: more raise ValueError.
+    An empty table gives a model that knows no language.
     """
-    lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
-    known = docs.filter(~held_out(id_col) & lang.isNotNull() & text.isNotNull()).select(F.col(f"`{id_col}`").cast("string").alias("i"), lang.cast("string").alias("lang"), text.alias("text"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(max_langs + 1).collect()}
-    if len(counts) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    if not counts:
-        return train({})
-    order = F.pmod(F.xxhash64("i"), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, int(min(1.0, (2 * docs_per_lang + 20) / v) * (1 << 30)))])
-    rows = known.withColumn("order", order).filter(F.col("order") < share[F.col("lang")]).collect()
-    samples: dict[str, list[str]] = {k: [] for k in counts}
-    words = Counter()
-    for r in sorted(rows, key=lambda r: (r["order"], r["i"] or "", r["text"])):
-        if len(samples[r["lang"]]) < docs_per_lang and words[r["lang"]] < words_per_lang:
-            samples[r["lang"]].append(r["text"])
-            words[r["lang"]] += r["text"].count(" ") + 1
-    return train(samples)
+    known = docs.filter(~held_out(id_col))
+    lang, ident, text = (F.col(f"`{c}`") for c in (lang_col, id_col, text_col))
+    return train(bounded_sample(known, lang.cast("string"), ident, text, docs_per_lang, bytes_per_lang, max_langs))
 
 
 def language_id(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
@@ -318,5 +310,4 @@ def language_id(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFram
             cols = [b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double"))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import sliced
+from limpid.llm.common import bounded_sample, extended, sliced
 
 DIM = 1 << 16
 CACHED_WORDS = 150_000
@@ -123,23 +123,29 @@ def train(texts: list[str], grades: list[float], steps: int = 200, rate: float =
     return Ordinal(weights, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]), [float(x) for x in levels])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", rows_per_grade: int = 1500, max_grades: int = 64) -> Ordinal:
-    """Train on a sample of the rated documents: of each grade about ``rows_per_grade`` whole texts, by hash of the id.
+def fit(
+    docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade",
+    rows_per_grade: int = 1500, bytes_per_grade: int = 1 << 24, max_grades: int = 64,
+) -> Ordinal:
+    """Train on a sample of the rated documents: of each grade ``rows_per_grade`` whole texts at most, lowest hash first, and
+    no more once they have ``bytes_per_grade`` bytes.
 
-    Rows without text or grade are left out; more than ``max_grades`` grades raise ValueError.
+    Ratings without id or grade and documents without id or text are left out. An id rated twice counts for each of its
+    grades, equal rows count once, and of documents with the same id each is an example. What is broadcast and what
+    comes to the driver has those bounds whatever the input. More than ``max_grades`` grades raise ValueError;
+    without ratings the model gives every text 0 and 1.
     """
-    rated = ratings.filter(F.col(f"`{grade_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{grade_col}`").cast("double").alias("_g"))
-    counts = {r["_g"]: r["count"] for r in rated.groupBy("_g").count().limit(max_grades + 1).collect()}
-    if len(counts) > max_grades:
-        raise ValueError(f"more than {max_grades} grades")
-    if not counts:
+    rated = ratings.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{grade_col}`").cast("double").alias("_g")).filter("_i is not null and _g is not null")
+    chosen = bounded_sample(rated, F.col("_g"), F.lit(None), F.col("_i").cast("string"), rows_per_grade, bytes_per_grade, max_grades)
+    if not chosen:
         return train([], [])
-    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, int(min(1.0, rows_per_grade / v) * (1 << 30)))])
-    chosen = rated.filter(F.pmod(F.xxhash64("_i"), F.lit(1 << 30)) < share[F.col("_g")])
-    # at most rows_per_grade rows of each of max_grades grades in expectation: safe to broadcast
-    text = docs.select(F.col(f"`{id_col}`").alias("_d"), F.col(f"`{text_col}`").alias("_t")).filter(F.col("_t").isNotNull())
-    rows = sorted(text.join(F.broadcast(chosen), F.col("_d") == F.col("_i")).select("_i", "_g", "_t").collect(), key=lambda r: (str(r["_i"]), r["_g"], r["_t"]))
-    return train([r["_t"] for r in rows], [r["_g"] for r in rows])
+    pairs = [(i, g) for g, ids in chosen.items() for i in ids]  # rows_per_grade x max_grades at most
+    asked = docs.sparkSession.createDataFrame(pairs, "_i string, _g double")
+    text = docs.select(F.col(f"`{id_col}`").cast("string").alias("_d"), F.col(f"`{text_col}`").alias("_t"))
+    joined = text.join(F.broadcast(asked), F.col("_d") == F.col("_i"))
+    found = bounded_sample(joined, F.col("_g"), F.col("_i"), F.col("_t"), rows_per_grade, bytes_per_grade, max_grades)
+    grades = sorted(found)
+    return train([t for g in grades for t in found[g]], [g for g in grades for _ in found[g]])
 
 
 def score_quality(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
@@ -162,5 +168,4 @@ def score_quality(docs: DataFrame, model: Ordinal, text_col: str = "text") -> Da
             cols = [b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, *[pa.array([g[k] for g in got], pa.float64()) for k in (0, 1)]], [*names, "expected_grade", "tail_probability"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", expected_grade double, tail_probability double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs.schema, "expected_grade double, tail_probability double"))
