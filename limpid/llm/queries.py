@@ -66,6 +66,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 finds in the texts as they stand, which SQL can say too."""
+    return op8_secret_scans(spark, sf_dir).drop("spans")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -87,11 +92,41 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "secret_base": secret_base,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_SECRET = {
+    "assign": r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA([A-Z0-9]+)",
+    "hex": "([0-9a-f]+)",
+}
+_LEAST = {"assign": "length(own) >= 6", "access": "length(raw) >= 20", "hex": "length(raw) >= 24"}
+
+
+def _secret_spans(rank: int, kind: str) -> str:
+    p = "'" + _SECRET[kind].replace("'", "''") + "'"
+    return f"""
+        SELECT doc_id, '{kind}' AS kind, {rank} AS rank, pos AS a, pos + length(raw) AS b FROM (
+            SELECT doc_id, raw, own, CAST(sum(length(gap) + coalesce(length(earlier), 0)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS pos FROM (
+                SELECT doc_id, k, raw, own, gap, lag(raw) OVER (PARTITION BY doc_id ORDER BY k) AS earlier FROM (
+                    SELECT doc_id, unnest(m) AS raw, unnest(o) AS own, unnest(g[1 : len(m)]) AS gap, unnest(range(1, len(m) + 1)) AS k FROM (
+                        SELECT doc_id, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, 1) AS o, string_split_regex(text, {p}) AS g FROM documents
+                    ) WHERE len(m) > 0)))
+        WHERE {_LEAST[kind]}"""
+
+
 ORACLES = {
+    "secret_base": f"""
+        WITH s AS ({" UNION ALL ".join(_secret_spans(k, x) for k, x in enumerate(_SECRET))}), c AS (
+            SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+                   string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans
+            FROM s GROUP BY doc_id
+        )
+        SELECT documents.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+        FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id
+    """,
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

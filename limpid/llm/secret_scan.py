@@ -2,7 +2,9 @@
 
 A text is scanned; what is encoded in it is decoded into new layers (URL and Unicode escapes in place
 in the whole text, base64 and compressed bytes inside it run by run), which are scanned in turn until
-no new layer appears. Every layer maps its characters to a span of the original text.
+no new layer appears. Escapes of either kind give a layer one step below, and, where escapes are left in it, one more
+in which they are all resolved to the end, in one pass, however deep they are nested. Every layer maps its
+characters to a span of the original text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from urllib.parse import unquote_to_bytes
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import sliced
+from limpid.llm.common import extended, sliced
 
 CHUNK = 1 << 18  # bytes that a compressed stream gives at a time
 KINDS = ("assign", "access", "hex")
@@ -35,6 +37,8 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _LINE_END = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*")
 _WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{_LINE_END.pattern}[A-Za-z0-9+/_-]+)+={{0,2}}")
 _SPLIT = re.compile(r"[/_-]")
+_HEXES = frozenset("0123456789abcdefABCDEF")
+_REACH = 10  # characters of the longest escape
 _ODD = re.compile(rb"[\x00-\x08\x0e-\x1f]")
 #: What a text must hold for a span or a further layer to come of it.
 _HINT = re.compile(r"(?ai:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}")
@@ -58,6 +62,7 @@ class Layer:
 
     text: str
     marks: list[tuple[int, int, int | None]]
+    stepped: bool = False  # whether it is a step in which escapes were decoded
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         """The original's span of characters [start, end) of this layer."""
@@ -87,13 +92,67 @@ class Layer:
                 marks.append((size, *self.span(a, b)))
                 size += 1
             at = b
-        return Layer("".join(pieces), marks)
+        return Layer("".join(pieces), marks, True)
+
+    def resolved(self) -> Layer:
+        """This layer without escapes: characters go on a stack, where one that completes an escape is
+        taken off again with it; what the escape stands for may complete another."""
+        chars: list[str] = []
+        first: list[int] = []  # where in this layer a character of the stack begins
+        last: list[int] = []
+        escapes = set("%\\")
+        since = _REACH  # characters put on the stack since the last that can begin an escape
+        for k, c in enumerate(self.text):
+            chars.append(c)
+            first.append(k)
+            last.append(k + 1)
+            since = 0 if c in escapes else since + 1
+            while since < _REACH and (n := _completed(chars)):
+                code = int("".join(chars[-n + (1 if chars[-n] == "%" else 2) :]), 16)
+                if chars[-n] == "%":
+                    new = chr(code) if code < 0x80 else chr(0xDC00 + code)
+                else:
+                    new = chr(code) if code < 0xD800 or 0xDFFF < code <= 0x10FFFF else "\ufffd"
+                at = first[-n]
+                del chars[-n:], first[-n:], last[-n:]
+                chars.append(new)
+                first.append(at)
+                last.append(k + 1)
+                since = next((j for j in range(min(_REACH, len(chars))) if chars[-1 - j] in escapes), _REACH)
+        found, k = [], 0  # bytes of URL escapes side by side make up characters
+        while k < len(chars):
+            j = k
+            while j < len(chars) and "\udc80" <= chars[j] <= "\udcff":
+                j += 1
+            if j > k:
+                raw = bytes(ord(c) - 0xDC00 for c in chars[k:j])
+                for c in raw.decode(errors="surrogateescape"):
+                    n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+                    found.append((first[k], last[k + n - 1], c if n > 1 else "\ufffd"))
+                    k += n
+                continue
+            if last[k] - first[k] > 1:
+                found.append((first[k], last[k], chars[k]))
+            k += 1
+        return self.decoded(found)
 
     def _at(self, pos: int) -> tuple[int, int]:
         at, first, last = self.marks[bisect.bisect_right(self.marks, pos, key=lambda m: m[0]) - 1]
         return (first, last) if last is not None else (first + pos - at, first + pos - at + 1)
 
 
+def _completed(chars: list[str]) -> int:
+    """How many characters on top of the stack are a whole escape."""
+    if chars[-1] not in _HEXES:
+        return 0
+    if len(chars) > 2 and chars[-3] == "%" and chars[-2] in _HEXES:
+        return 3
+    for n, mark in ((4, "x"), (6, "u"), (10, "U")):
+        if len(chars) >= n and chars[-n] == "\\" and chars[1 - n] == mark and all(c in _HEXES for c in chars[2 - n :]) and (n < 10 or chars[-8:-5] == ["0"] * 3):
+            return n
+    return 0
+
+
 def _text(raw: bytes) -> str | None:
     """``raw`` as text if it plausibly is: valid UTF-8 without odd controls."""
     try:
@@ -252,10 +311,7 @@ def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
     """Base64 runs as (run, (place in the run, place in the text) of its lines, end in the text): those of
     one line, and those joined over line ends."""
     for m in _BASE64.finditer(text):
-        run = m[0]
-        if run.isalpha() and (run.islower() or run.isupper() or run[1:].islower()):
-            continue  # a plain word
-        yield run, [(0, m.start())], m.end()
+        yield m[0], [(0, m.start())], m.end()
     if "\n" in text or "\\n" in text:
         for m in _WRAPPED.finditer(text):
             lines, at, size, spots = [], m.start(), 0, []
@@ -269,9 +325,10 @@ def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
 
 
 def unwrap(layer: Layer, most: int) -> Iterator[Layer]:
-    """The layers one decoding step below ``layer``: the whole text with its URL escapes decoded in
-    place, the same with its Unicode escapes, and what each base64 run holds."""
+    """The layers below ``layer``: the whole text with its URL escapes decoded in place, the same with its
+    Unicode escapes, both resolved to the end, and what each base64 run holds."""
     text = layer.text
+    steps = []
     if "%" in text:
         found = []
         for m in _URL.finditer(text):
@@ -282,14 +339,19 @@ def unwrap(layer: Layer, most: int) -> Iterator[Layer]:
                 found.append((at, end, "\ufffd" if odd else c))
                 at = end
         if found:
-            yield layer.decoded(found)
+            steps.append(found)
     if "\\" in text:
         found = []
         for m in _ESCAPED.finditer(text):
             code = int(m[1] or m[2] or m[3], 16)
             found.append((m.start(), m.end(), chr(code) if code < 0xD800 or 0xDFFF < code <= 0x10FFFF else "\ufffd"))
         if found:
-            yield layer.decoded(found)
+            steps.append(found)
+    if not layer.stepped:
+        stepped = [layer.decoded(found) for found in steps]
+        yield from stepped
+        if len(steps) > 1 or any(_URL.search(x.text) or _ESCAPED.search(x.text) for x in stepped):
+            yield layer.resolved()
     for run, spots, end in _runs(text):
         starts = sorted({*(at for at, _ in spots), *(m.end() for m in _SPLIT.finditer(run))})
         for inner, parts in _base64(run, starts, most):
@@ -350,7 +412,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in f[j]] for f in found], pa.list_(span)) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("i"), *cols], ["i", "base", "spans"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     each = "array<struct<kind:string,start:bigint,end:bigint>>"
     narrow = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
-    return narrow.mapInArrow(run, f"i {kind}, base {each}, spans {each}").withColumnRenamed("i", id_col)
+    schema = extended(narrow.select("i").schema, f"base {each}, spans {each}")
+    return narrow.mapInArrow(run, schema).withColumnRenamed("i", id_col)
