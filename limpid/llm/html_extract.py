@@ -15,9 +15,9 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import sliced, staged
+from limpid.llm.common import extended, sliced, staged
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|\"(?![^\"]*\")|'(?![^']*'))*)(?:>|\Z)", re.S)
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _ID = re.compile(r"""(?<![\w-])id\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?<![\w-])hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -44,6 +44,8 @@ _BEFORE = {"site", "page", "post", "main", "top", "bottom", "global", "primary",
 _AFTER = re.compile(
     r"areas?|container|wrap|wrapper|inner|box|bar|list|items?|slot|unit|form|section|block|thread|links?|buttons?|icons?|media|posts?|articles?|message|left|right|top|bottom|primary|secondary|[0-9]+"
 )
+#: Names of what holds an article; beside one of them a name above only tells of the layout.
+ARTICLE = {"article", "post", "entry", "story", "content", "hentry", "h-entry", "single", "page", "main", "text", "news", "blog", "post-content", "entry-content", "article-body", "article-content"}
 _HYPHEN = re.compile(r"(?<![a-z])(side-(?=bar)|site-(?=header)|page-(?=header)|top-(?=bar)|pop-(?=up)|log-(?=in)|sign-(?=up)|skip-(?=link))")
 
 
@@ -59,6 +61,12 @@ def noise_name(name: str) -> bool:
     return parts[0] == "comment" or all(NOISE.fullmatch(p) or _AFTER.fullmatch(p) for p in parts[1:])
 
 
+def noise_names(names: str) -> bool:
+    """Whether the class names and the id of one container speak against it."""
+    own = names.lower().split()
+    return any(map(noise_name, own)) and not ARTICLE & set(own)
+
+
 class Node:
     __slots__ = ("tag", "path", "parent", "noise", "named", "first", "last")
 
@@ -189,7 +197,7 @@ def parse(html: str) -> list[tuple[Node, str, int, bool]]:
             sure = (up.noise and not up.named) or tag in DROPPED or (tag == "header" and not in_article)
             if not sure and attrs and tag not in ("html", "body"):
                 sure = bool(_HIDDEN.search(attrs) or _ROLE.search(attrs))
-            named = not sure and tag != "main" and (up.named or (tag not in NEVER and any(noise_name(c) for c in names.split())))
+            named = not sure and tag != "main" and (up.named or (tag not in NEVER and noise_names(names)))
             stack.append(Node(tag, f"{up.path}/{step}", up, sure or named, named, len(blocks)))
     close()
     leave(0)
@@ -323,8 +331,8 @@ def html_extraction(pages: DataFrame, url_col: str = "url", html_col: str = "htm
     The path with most votes of a host, ties by summed score and then by name, is used on all its
     pages if it has ``least_share`` of the votes; otherwise, and on pages without that
     path, the page's own best container is. Null and empty html give an empty text. Pages
-    without a url, or with one that has no host, share the empty host. Ids are not used; an empty table gives
-    an empty result.
+    without a url, or with one that has no host, share the empty host. Ids are not used, so null and repeated ones
+    are carried through, and equal rows are pages like others, each with its vote. An empty table gives an empty result.
     """
     import pyarrow as pa
 
@@ -344,5 +352,4 @@ def html_extraction(pages: DataFrame, url_col: str = "url", html_col: str = "htm
             texts = [extract(parse(h), p) if h else "" for h, p in zip(b.column(at).to_pylist(), b.column(len(names) + 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(names) + 1)], pa.array(texts, pa.string())], [*names, "_host", "_text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", _host string, _text string"
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, extended(pages.schema, "_host string, _text string"))
