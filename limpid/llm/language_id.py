@@ -59,17 +59,22 @@ class Crf:
     weights: np.ndarray  # DIM x languages
     trans: np.ndarray  # languages x languages
     lexicon: dict[str, tuple[int, ...]]
+    seen: np.ndarray = field(default_factory=lambda: np.zeros(DIM, bool))  # features that training met
     cache: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
     def __getstate__(self):
         return {**self.__dict__, "cache": {}, "rows": None}
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        """Scores of the words, one row each. Frequent words are kept; the
-        others of a batch are scored once in it."""
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the words, one row each, and the share of each word's features that training met. Frequent
+        words are kept; the others of a batch are scored once in it."""
+        both = self._emissions(words)
+        return both[:, :-1], both[:, -1]
+
+    def _emissions(self, words: list[str]) -> np.ndarray:
         if self.rows is None:
-            self.rows = np.zeros((CACHED_WORDS, len(self.langs)), np.float32)
+            self.rows = np.zeros((CACHED_WORDS, len(self.langs) + 1), np.float32)
         if not words:
             return self.rows[:0]
         get = self.cache.get
@@ -84,7 +89,10 @@ class Crf:
             feats = [word_features(w, self.lexicon) for w in late]
             size = np.array([len(f) for f in feats])
             flat = np.fromiter((x for f in feats for x in f), np.int64, size.sum())
-            new = np.add.reduceat(self.weights[flat], np.cumsum(size) - size, axis=0) / np.sqrt(size)[:, None].astype(np.float32)
+            starts = np.cumsum(size) - size
+            new = np.empty((len(size), len(self.langs) + 1), np.float32)
+            new[:, :-1] = np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(size)[:, None]
+            new[:, -1] = np.add.reduceat(self.seen[flat].astype(np.float32), starts) / size
             room = min(len(new), CACHED_WORDS - base)
             self.rows[base : base + room] = new[:room]
             # a longer word keeps its place in the table but is scored again
@@ -227,24 +235,30 @@ def train(samples: dict[str, list[str]], steps: int = 40, rate: float = 0.3, dec
             x -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-6)
     weights = np.zeros((DIM, n), np.float32)
     weights[used] = w
-    return Crf(langs, weights, trans, lexicon)
+    seen = np.zeros(DIM, bool)
+    seen[used] = True
+    return Crf(langs, weights, trans, lexicon, seen)
 
 
-def predict(texts: list[str | None], model: Crf, batch_words: int = 50_000) -> list[tuple[str, float]]:
-    """(language, mean marginal of its words) of each text; ``und`` without a letter."""
-    out: list[tuple[str, float]] = []
+def predict(texts: list[str | None], model: Crf, batch_words: int = 50_000) -> list[tuple[str, float, float]]:
+    """(language, mean marginal of its words, mean share of their features that training met) of each
+    text; ``und`` without a letter."""
+    out: list[tuple[str, float, float]] = []
     held: list[list[str]] = []
 
     def flush() -> None:
         lengths = np.array([len(w) for w in held], np.int64)
         flat = [x for w in held for x in w]
-        p, _ = marginals(model.emissions(flat).astype(np.float64), lengths, model.trans)
-        sums = np.zeros((len(held), len(model.langs)))
+        scores, known = model.emissions(flat)
+        p, _ = marginals(scores.astype(np.float64), lengths, model.trans)
+        sums, near = np.zeros((len(held), len(model.langs))), np.zeros(len(held))
         full = np.flatnonzero(lengths)
         if len(full):
-            sums[full] = np.add.reduceat(p, (np.cumsum(lengths) - lengths)[full], axis=0)
-        for s, n in zip(sums, lengths):
-            out.append((model.langs[int(s.argmax())], float(min(1.0, s.max() / n))) if n else (UNKNOWN, 0.0))
+            starts = (np.cumsum(lengths) - lengths)[full]
+            sums[full] = np.add.reduceat(p, starts, axis=0)
+            near[full] = np.add.reduceat(known.astype(np.float64), starts)
+        for s, k, n in zip(sums, near, lengths):
+            out.append((model.langs[int(s.argmax())], float(min(1.0, s.max() / n)), float(min(1.0, k / n))) if n else (UNKNOWN, 0.0, 0.0))
         held.clear()
 
     size = 0
@@ -265,7 +279,7 @@ def predict(texts: list[str | None], model: Crf, batch_words: int = 50_000) -> l
 def label_words(text: str, model: Crf) -> list[tuple[str, str]]:
     """Each word of a (code-switched) text with its language."""
     words = words_of(text)
-    p, _ = marginals(model.emissions(words).astype(np.float64), np.array([len(words)]), model.trans)
+    p, _ = marginals(model.emissions(words)[0].astype(np.float64), np.array([len(words)]), model.trans)
     return [(w, model.langs[k]) for w, k in zip(words, p.argmax(1))] if words else []
 
 
@@ -290,7 +304,8 @@ def fit(
 
 
 def language_id(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
-    """``docs`` with two more columns: lang_pred, score (0 to 1).
+    """``docs`` with three more columns: lang_pred, score (0 to 1) and familiar (0 to 1): the mean share of a word's
+    affixes and n-grams that training met in any language, which is low in a language that was not learned.
 
     Reads the whole text and nothing else. Null texts and those without a letter give
     ``und`` and 0; languages that tie are decided by alphabet. Ids are not used, so
@@ -299,7 +314,7 @@ def language_id(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFram
     """
     import pyarrow as pa
 
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "familiar")
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
@@ -308,6 +323,7 @@ def language_id(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFram
         for b in sliced(batches):
             got = predict(b.column(at).to_pylist(), held.value)
             cols = [b.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "score"])
+            found = [pa.array([g[0] for g in got], pa.string()), *(pa.array([g[k] for g in got], pa.float64()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*cols, *found], [*names, "lang_pred", "score", "familiar"])
 
-    return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double"))
+    return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double, familiar double"))
