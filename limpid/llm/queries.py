@@ -77,7 +77,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+    out = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), shingle=3, percent=90, count_links=False)
     return out.select("doc_id", "n_shingles", "component_id")
 
 
