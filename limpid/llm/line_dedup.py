@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import drop_staged, sliced, staged
+from limpid.llm.common import drop_staged, extended, sliced, staged
 from limpid.llm.sketch import PACK_SCHEMA, merge_packs, pack_slots, sized
 
 BLANKS = b" \t\n\v\f\r"
@@ -47,20 +47,20 @@ def document_hashes(text: str, min_chars: int) -> list[bytes]:
     return [key_hash(k) for k in {k for k in line_keys(text, min_chars) if k is not None}]
 
 
-def row_key(doc_id: int | None, text: str) -> bytes:
+def row_key(doc_id: object, text: str) -> bytes:
     return xxhash.xxh3_128_digest(f"{doc_id}\n{text}".encode())
 
 
 class Confirmed:
     """Sorted table of confirmed key hashes and the id that keeps each line."""
 
-    def __init__(self, digests: list[bytes], keep: np.ndarray, no_id: np.ndarray):
+    def __init__(self, digests: list[bytes], keep: list):
         order = np.argsort(low := _low(digests), kind="stable") if digests else np.zeros(0, np.int64)
         self.low = low[order] if digests else np.zeros(0, np.uint64)
         self.all = np.array([np.frombuffer(d, np.uint64)[1] for d in digests], np.uint64)[order] if digests else self.low
-        self.keep, self.no_id = keep[order], no_id[order]
+        self.keep = [keep[k] for k in order]
 
-    def dropped(self, digests: list[bytes], doc_id: int | None) -> set[bytes]:
+    def dropped(self, digests: list[bytes], doc_id: object) -> set[bytes]:
         if not digests or not len(self.low):
             return set()
         out = set()
@@ -70,7 +70,7 @@ class Confirmed:
             high = np.frombuffer(digests[k], np.uint64)[1]
             j = at[k]
             while j < len(self.low) and self.low[j] == low[k]:
-                if self.all[j] == high and not self.no_id[j] and self.keep[j] != doc_id:
+                if self.all[j] == high and self.keep[j] is not None and self.keep[j] != doc_id:
                     out.add(digests[k])
                 j += 1
         return out
@@ -91,7 +91,7 @@ def line_dedup(
     text_col: str = "text",
     min_chars: int = 20,
     min_docs: int = 3,
-    max_filter_bits: int = 1 << 27,
+    max_filter_bits: int = 1 << 28,
     broadcast_keys: int = 1_000_000,
 ) -> DataFrame:
     """``docs``, with the text rewritten, and two more columns _n_lines, _n_dropped.
@@ -100,7 +100,7 @@ def line_dedup(
     lower-cased. Keys of ``min_chars`` code points or more that occur in ``min_docs``
     documents or more lose all their lines except in the document with the largest
     id that holds them. Every row counts as a document, repeated ones too; of rows
-    with the same largest id each keeps its lines. Null ids are below all others; a
+    with the same largest id each keeps its lines. Ids may be of any type that sorts; null ids are below all others; a
     key that only rows without id hold loses nothing. Null and empty text have one
     empty line and become empty. An empty table gives an empty result. Input columns with the names of added ones give way to them.
 
@@ -113,7 +113,8 @@ def line_dedup(
 
     spark, docs = docs.sparkSession, docs.drop("_n_lines", "_n_dropped")
     id_name, text_name = f"`{id_col}`", f"`{text_col}`"
-    narrow = docs.select(F.col(id_name).cast("long").alias("i"), F.coalesce(F.col(text_name), F.lit("")).alias("t"))
+    id_schema = extended(docs.select(F.col(id_name).alias("i")).schema, "key binary, row binary")
+    narrow = docs.select(F.col(id_name).alias("i"), F.coalesce(F.col(text_name), F.lit("")).alias("t"))
     filter_bits, shards = sized(narrow, "t", 4, max_filter_bits)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,16 +145,16 @@ def line_dedup(
                     keys += own
                     ids += [i] * len(own)
                     rows += [row_key(i, t)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["i", "key", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column("i").type), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["i", "key", "row"])
 
-    suspects = staged(narrow.mapInArrow(suspect, "i long, key binary, row binary"), "suspects")
+    suspects = staged(narrow.mapInArrow(suspect, id_schema), "suspects")
     confirmed = staged(
         suspects.groupBy("key").agg(F.count("*").alias("docs"), F.max("i").alias("keep")).filter(F.col("docs") >= min_docs).select("key", "keep"),
         "confirmed",
     )
     schema = docs.schema
     names = docs.columns
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", _n_lines long, _n_dropped long"
+    out_schema = extended(schema, "_n_lines long, _n_dropped long")
 
     def written(b: pa.RecordBatch, results: list[tuple[str, int, int]]) -> pa.RecordBatch:
         cols = [b.column(k) for k in range(len(names))]
@@ -164,10 +165,8 @@ def line_dedup(
     at_id, at_text = names.index(id_col), names.index(text_col)
     if confirmed.count() <= broadcast_keys:
         drop_staged(suspects)
-        got = confirmed.toPandas()
-        held = spark.sparkContext.broadcast(
-            Confirmed([bytes(k) for k in got["key"]], got["keep"].fillna(0).to_numpy(np.int64), got["keep"].isna().to_numpy())
-        )
+        got = confirmed.toArrow()
+        held = spark.sparkContext.broadcast(Confirmed(got.column("key").to_pylist(), got.column("keep").to_pylist()))
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in sliced(batches):
@@ -186,7 +185,7 @@ def line_dedup(
         .agg(F.collect_set("key").alias("_limpid_drop"))  # at most the lines of one document
     )
     row_of = F.udf(lambda i, t: row_key(i, t or ""), "binary", useArrow=True)
-    with_drops = docs.withColumn("_limpid_row", row_of(F.col(id_name).cast("long"), F.col(text_name))).join(
+    with_drops = docs.withColumn("_limpid_row", row_of(F.col(id_name), F.col(text_name))).join(
         lost.withColumnRenamed("row", "_limpid_row"), "_limpid_row", "left"
     )
 
