@@ -4,6 +4,9 @@ Pass one counts the hashes that fall on each slot of a one-hash Bloom filter and
 keeps the slots hit twice as a bitmap. Pass two probes every row against that bitmap:
 a hash on a slot hit once is certainly unique and its row passes straight through;
 only the rows left over, possibly repeated, shuffle to be grouped exactly.
+
+The bitmap is broadcast, so its size is bounded. Input that would fill it is written in ranges of the hash, each of
+which has a filter and both passes of its own, so that it never fills up.
 """
 
 from __future__ import annotations
@@ -11,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from functools import reduce
+
 from limpid.llm.common import staged
 
 BITMAP_BITS = 32768  # bits of one value of bitmap_construct_agg
@@ -34,6 +39,16 @@ def filter_bits(rows: int, bits_per_row: int, most: int) -> int:
     return bits
 
 
+def ranges_of(rows: int, bits: int, least: int = 4) -> int:
+    """How many ranges give each row ``least`` bits of a filter."""
+    return max(1, -(-rows * least // bits))
+
+
+def _range(digest: Column, n: int) -> Column:
+    """The range of a hash, from other bits than its slot."""
+    return F.pmod(F.shiftrightunsigned(F.xxhash64(digest), 40), F.lit(n)).cast("int")
+
+
 def _slot(digest: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(bits))
 
@@ -73,7 +88,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     bits_per_row: int = 16,
-    max_filter_bits: int = 1 << 28,
+    max_filter_bits: int = 1 << 29,
 ) -> DataFrame:
     """One row per document: (id, keep_id, group_size, kept, text_sha256).
 
@@ -83,13 +98,20 @@ def exact_dedup(
     keep_id is null where all ids of the group are. An empty table gives an empty
     result; other columns, whatever their names, are not read.
 
-    The filter has ``bits_per_row`` bits a row and ``max_filter_bits`` (32 MB) at
-    most, which bounds the broadcast. Beyond that more unique rows are suspected
-    and shuffle; the result is exact at any size.
+    A filter has ``bits_per_row`` bits a row and ``max_filter_bits`` (64 MB) at most, which bounds what is
+    broadcast at a time. Beyond four bits a row less than that, hashes go in ranges, one after another.
     """
-    hashed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(F.col(f"`{text_col}`")).alias("text_sha256"))
-    hashed = staged(hashed.withColumn("_row", F.monotonically_increasing_id()), "hashes")
-    bits = filter_bits(hashed.count(), bits_per_row, max_filter_bits)
+    rows = docs.count()
+    bits = filter_bits(rows, bits_per_row, max_filter_bits)
+    n = ranges_of(rows, bits)
+    hashed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_hash(F.col(f"`{text_col}`")).alias("text_sha256"), F.monotonically_increasing_id().alias("_row"))
+    hashed = staged(hashed.withColumn("_part", _range(F.col("text_sha256"), n)), "hashes", "_part") if n > 1 else staged(hashed, "hashes")
+    parts = [hashed.filter(F.col("_part") == k).drop("_part") for k in range(n)] if n > 1 else [hashed]
+    return reduce(DataFrame.unionByName, (_exact(part, bits) for part in parts)).withColumnRenamed("doc_id", id_col)
+
+
+def _exact(hashed: DataFrame, bits: int) -> DataFrame:
+    """Both passes over the rows of one range."""
     bitmaps = staged(twice_seen(hashed, bits), "bloom")
     marked = mark_suspects(hashed, bitmaps, bits)
     suspects = marked.filter("suspect")
@@ -107,17 +129,15 @@ def exact_dedup(
     unique = marked.filter("not suspect").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    return unique.unionByName(repeated).withColumnRenamed("doc_id", id_col)
+    return unique.unionByName(repeated)
 
 
 def drop_exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bits: int = 1 << 28
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bits: int = 1 << 29
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps."""
-    names = docs.columns
-    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_hash(F.col(f"`{text_col}`")).alias("text_sha256"))
-    narrow = hashed.select("text_sha256")
-    bits = filter_bits(docs.count(), bits_per_row, max_filter_bits)
-    marked = mark_suspects(hashed, staged(twice_seen(narrow, bits), "bloom"), bits)
-    best = marked.filter("suspect").groupBy("text_sha256").agg(F.max_by("row", F.coalesce(F.col(f"row.`{id_col}`"), F.lit(-(1 << 63)))).alias("row"))
-    return marked.filter("not suspect").select("row").unionByName(best.select("row")).select("row.*")
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps. They are written once, with their numbers, so that what is
+    kept can be told by number."""
+    rows = staged(docs.withColumn("_limpid_row", F.monotonically_increasing_id()), "rows")
+    chosen = exact_dedup(rows.select(F.struct(f"`{id_col}`", "_limpid_row").alias("i"), F.col(f"`{text_col}`").alias("t")), "i", "t", bits_per_row, max_filter_bits)
+    gone = chosen.filter("not kept").select(F.col("i._limpid_row").alias("_limpid_row"))
+    return rows.join(gone, "_limpid_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
