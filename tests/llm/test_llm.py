@@ -47,12 +47,14 @@ def norm(t):
     return (t or "").encode().lower()
 
 
-@pytest.mark.parametrize("bits", [1 << 28, 1 << 15])
-def test_exact_dedup(spark, corpus, bits):
+@pytest.mark.parametrize("ranges", [1, 3])
+def test_exact_dedup(spark, corpus, monkeypatch, ranges):
+    assert exact_dedup.ranges_of(10, 1 << 15) == 1 and exact_dedup.ranges_of(4 * 10**10, 1 << 29) == 299
+    monkeypatch.setattr(exact_dedup, "ranges_of", lambda rows, bits: ranges)
     groups = defaultdict(list)
     for i, t, _ in corpus:
         groups[norm(t)].append(i)
-    out = exact_dedup.exact_dedup(docs(spark, corpus), max_filter_bits=bits).collect()
+    out = exact_dedup.exact_dedup(docs(spark, corpus)).collect()
     assert len(out) == len(corpus) and sum(r["kept"] for r in out) == len(groups)
     best = lambda g: max((i for i in g if i is not None), default=None)
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in out) == Counter((i, best(groups[norm(t)]), len(groups[norm(t)])) for i, t, _ in corpus)
@@ -121,7 +123,9 @@ def test_jaccard_join(spark, corpus, size, percent):
     want = Counter((corpus[k][0], len(sets[k]), least.get(root[k]), len(near[k])) for k in range(n))
     got = jaccard_join.jaccard_join(docs(spark, corpus), shingle=size, percent=percent).collect()
     assert Counter(tuple(r) for r in got) == want
-    assert jaccard_join.jaccard_join(empty(spark)).count() == 0
+    quick = jaccard_join.jaccard_join(docs(spark, corpus), shingle=size, percent=percent, count_links=False)
+    assert Counter(tuple(r) for r in quick.collect()) == Counter(x[:3] for x in want.elements())
+    assert jaccard_join.jaccard_join(empty(spark)).count() == 0 == jaccard_join.jaccard_join(empty(spark), count_links=False).count()
 
 
 def test_group_bound_never_hides_a_link():
@@ -291,8 +295,8 @@ def test_bounds_lose_no_item():
             terms = {t for t in x[w * step : w * step + 2 * step] if t >= 0}
             score = np.zeros(100)
             for t in terms:
-                a, b = index.starts[t], index.starts[t + 1]
-                score[index.items[a:b]] += index.weights[a:b]
+                a, b = index.items.starts[t], index.items.starts[t + 1]
+                score[index.items.places[a:b]] += index.items.weights[a:b]
             want |= {(d, w, int(i)) for i in np.flatnonzero(score >= 0.3)}
     assert got == want and got
 
@@ -316,9 +320,9 @@ def test_mixing(spark, corpus):
     assert mixing.mix_sources(empty(spark)).count() == 0
     sizes = spark.createDataFrame([("a", 900, 1), ("b", 90, 1), ("c", 10, 1)], "source string, tokens long, docs long")
     at = mixing.bisect_exponent(sizes, 1000, repetitions=4.0)
-    assert abs(mixing._measure(sizes, 1000, 1000, at)[1] - 4.0) < 1e-3
+    assert abs(mixing.measure(sizes, 1000, 1000, [at])[0][1] - 4.0) < 1e-3
     at = mixing.bisect_exponent(sizes, 1000, entropy=0.8)
-    assert abs(mixing._measure(sizes, 1000, 1000, at)[0] - 0.8 * np.log(3)) < 1e-3
+    assert abs(mixing.measure(sizes, 1000, 1000, [at])[0][0] - 0.8 * np.log(3)) < 1e-3
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href=/>Home</a></header><nav><ul><li><a>Menu</a></li></ul></nav>
