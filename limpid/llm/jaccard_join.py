@@ -12,9 +12,7 @@ tokens first, by counts over the whole input, so a passage that very many docume
 share yields no pairs unless the documents consist of it.
 
 Documents with equal sets are one class. Only classes are grouped and compared; their links and
-components carry over to the copies. Where only components are asked for, each class first meets the few of its
-group whose tokens are the most frequent, as those of an original are among its near copies; classes that this connects
-are a group of their own and not compared with one another again, so a family of m costs about m comparisons and not m squared.
+components carry over to the copies.
 """
 
 from __future__ import annotations
@@ -34,7 +32,6 @@ from limpid.llm.sketch import PACK_SCHEMA, merge_packs, pack_slots
 SPACE = 36  # bits of the hash that counts are kept by
 LEVELS = (2, 16, 256)  # documents with a token from which its level is 1, 2, 3
 TILE = 256  # members and queries of a comparison task's unit
-HUBS = 4  # members of a group that all others meet first
 FLUSH = 1 << 20
 WORDS = 150_000
 
@@ -223,9 +220,8 @@ def compare(members: list, queries: list, percent: int) -> tuple[list[tuple[byte
     return counts, edges
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_slots: int = 1 << 27, count_links: bool = True) -> DataFrame:
-    """One row per document: (id, n_shingles, component_id, n_links), the last only with ``count_links``, for which
-    every pair that may link is compared; without it pairs that are connected already are not.
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_slots: int = 1 << 27) -> DataFrame:
+    """One row per document: (id, n_shingles, component_id, n_links).
 
     A document's set holds its distinct ``shingle``-word n-grams. Two documents link when
     100 * intersection >= ``percent`` * union, in exact arithmetic on 64-bit hashes.
@@ -310,15 +306,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = kept(index.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
     postings = kept(index.join(shared, "tok"), "postings")
 
-    # Groups: each class goes with the most frequent token of its prefix.
-    home = kept(postings.groupBy("key").agg(F.max_by("tok", F.struct("m", "tok")).alias("g"), F.avg("m").alias("fame"), F.min("n").alias("n")), "homes")
+    # Groups: each class goes with the most frequent token of its prefix, TILE of them to a group.
+    home = postings.groupBy("key").agg(F.max_by("tok", F.struct("m", "tok")).alias("g"))
+    parts = home.groupBy("g").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    home = kept(home.join(parts, "g").select("key", "g", F.pmod(F.xxhash64("key"), "parts").alias("part")), "groups")
+    matrix = (
+        postings.join(home, "key")
+        .groupBy("tok", "g", "part")
+        .agg(F.count("*").alias("holders"), F.min("key").alias("holder"), F.min("n").alias("small"), F.max("n").alias("large"))
+    )
+    matrix = kept(matrix, "matrix")
+    alone = (F.col("holders") == 1) & (F.col("holder") == F.col("key"))
+    sizes_meet = (F.col("n") * percent <= F.col("large") * 100) & (F.col("small") * percent <= F.col("n") * 100)
+    pairs = kept(postings.join(matrix, "tok").filter(~alone & sizes_meet).select("key", "g", "part").distinct(), "pairs")
+    chunks = pairs.groupBy("g", "part").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
+    queries = pairs.join(chunks, ["g", "part"]).select("key", "g", "part", F.pmod(F.xxhash64("key", F.lit(1)), "chunks").alias("chunk"), F.lit(2).alias("role"))
+    stock = home.join(chunks, ["g", "part"]).select("key", "g", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
+    # a class that is member and query of one tile goes there once
+    roles = queries.unionByName(stock).groupBy("g", "part", "chunk", "key").agg(F.sum("role").alias("role"))
     classes = members.filter("key is not null").groupBy("key").agg(
         F.min("i").alias("least"), F.count("*").alias("copies"), F.min("row").alias("row")
     )
     classes = kept(classes, "classes")
+    roles = kept(roles.join(classes.select("key", "copies"), "key"), "roles")
 
-    # Pass three: whole sets, only of classes that share a token of their prefix, and from one document each.
-    wanted = kept(home.select("key").join(classes, "key").select("row"), "wanted")
+    # Pass three: whole sets, only of the classes compared and from one document each.
+    wanted = kept(roles.select("key").distinct().join(classes, "key").select("row"), "wanted")
     bits = 1 << 20
     while bits < min(16 * wanted.count(), 1 << 28):
         bits *= 2
@@ -372,67 +385,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if now:
             yield done()
 
-    def compared(queries: DataFrame, stock: DataFrame) -> DataFrame:
-        """The links of tiles (g, part, chunk): of each query with the stock of its tile."""
-        # a class that is member and query of one tile goes there once
-        roles = queries.withColumn("role", F.lit(2)).unionByName(stock.withColumn("role", F.lit(1))).groupBy("g", "part", "chunk", "key").agg(F.sum("role").alias("role"))
-        roles = kept(roles.join(classes.select("key", "copies"), "key"), "roles")
-        laid = roles.join(sets, "key").repartition("g", "part", "chunk").sortWithinPartitions("g", "part", "chunk", "key")
-        return kept(laid.select("g", "part", "chunk", "role", "key", "set", "copies").mapInArrow(tiles, "a binary, b binary, n long"), "links")
-
-    def chunked(queries: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Queries of (g, part) dealt out to chunks of about TILE, and the stock to all of them."""
-        chunks = queries.groupBy("g", "part").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
-        dealt = queries.join(chunks, ["g", "part"]).select("key", "g", "part", F.pmod(F.xxhash64("key", F.lit(1)), "chunks").alias("chunk"))
-        return dealt, stock.join(chunks, ["g", "part"]).select("key", "g", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-
-    edges = None
-    near = home.select("key", "g", F.col("key").alias("c"))
-    if not count_links:
-        many = home.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1").select("g")
-        asked = home.join(many, "g").select("key", "g", F.lit(0).alias("part"))
-        hubs = home.join(many, "g").groupBy("g", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("h")).agg(F.max_by("key", F.struct("fame", "key")).alias("key")).select("key", "g", F.lit(0).alias("part"))
-        first = compared(*chunked(asked, hubs))
-        edges = first.filter("b is not null").select("a", "b")
-        joined = connected_components(edges)
-        # a connected family is a group of its own; c tells which component a class is in so far
-        near = kept(home.join(joined, F.col("key") == F.col("node"), "left").select("key", F.when(F.col("root").isNull(), F.col("g")).otherwise(F.xxhash64("g", "root")).alias("g"), F.coalesce("root", "key").alias("c")), "families")
-        postings = postings.join(near.select("key", "c"), "key")
-        # a token that one component holds alone connects nothing more
-        mixed = postings.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
-        postings = kept(postings.join(mixed, "tok"), "open-postings")
-    else:
-        postings = postings.withColumn("c", F.col("key"))
-    parts = near.groupBy("g").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    placed = kept(near.join(parts, "g").select("key", "g", F.pmod(F.xxhash64("key"), "parts").alias("part")), "groups")
-    matrix = (
-        postings.join(placed, "key")
-        .groupBy("tok", "g", "part")
-        .agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large"))
-    )
-    matrix = kept(matrix, "matrix")
-    same = (F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("c"))
-    sizes_meet = (F.col("n") * percent <= F.col("large") * 100) & (F.col("small") * percent <= F.col("n") * 100)
-    pairs = kept(postings.join(matrix, "tok").filter(~same & sizes_meet).select("key", "g", "part").distinct(), "pairs")
-    found = compared(*chunked(pairs, placed))
-    more = found.filter("b is not null").select("a", "b")
-    labels = connected_components(more if edges is None else edges.unionByName(more))
+    laid = roles.join(sets, "key").repartition("g", "part", "chunk").sortWithinPartitions("g", "part", "chunk", "key")
+    found = kept(laid.select("g", "part", "chunk", "role", "key", "set", "copies").mapInArrow(tiles, "a binary, b binary, n long"), "links")
+    labels = connected_components(found.filter("b is not null").select("a", "b"))
+    degrees = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("linked"))
 
     least = labels.join(classes, F.col("node") == F.col("key")).groupBy("root").agg(F.min("least").alias("component"))
     labels = labels.join(least, "root").select(F.col("node").alias("key"), "component")
-    info = classes.join(labels, "key", "left").filter("copies > 1 or component is not null")
-    linked = F.lit(None).cast("long")
-    if count_links:
-        info = info.join(found.filter("b is null").groupBy("a").agg(F.sum("n").alias("linked")).withColumnRenamed("a", "key"), "key", "left")
-        linked = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
-    info = info.select("key", F.coalesce("component", "least").alias("component"), linked.alias("linked"))
+    info = (
+        classes.join(labels, "key", "left")
+        .filter("copies > 1 or component is not null")
+        .join(degrees.withColumnRenamed("a", "key"), "key", "left")
+        .select("key", F.coalesce("component", "least").alias("component"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("linked"))
+    )
     info = staged(info, "components")  # a plain scan on each side lets a skewed join be split
     for df in made:
         drop_staged(df)
-    out = members.join(info, "key", "left").select(
+    return members.join(info, "key", "left").select(
         F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"), F.coalesce("linked", F.lit(0)).cast("long").alias("n_links")
     )
-    return out if count_links else out.drop("n_links")
 
 
 def row_hash(doc_id: object, text: str | None) -> int:
