@@ -34,7 +34,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     of its text. Rows are told apart by id and text, so another text under the same id stays, of rows
     equal in both one does, and copies without id leave one too. Texts without words are linked with nothing."""
     rows = staged(docs.withColumn("_limpid_row", F.monotonically_increasing_id()), "rows")
-    joined = jaccard_join.jaccard_join(rows, id_col="_limpid_row", count_links=False)
+    joined = jaccard_join.jaccard_join(rows, id_col="_limpid_row")
     # the ids of components are row numbers here: the class of rows, whatever their documents' ids
     classes = joined.select(F.col("_limpid_row"), F.col("component_id").alias("_limpid_class"))
     narrow = rows.select("_limpid_row", "doc_id", F.xxhash64("text").alias("h"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
