@@ -85,7 +85,7 @@ def sized(docs: DataFrame, text_col: str, bytes_per_bit: int, most: int) -> tupl
     bits = 1 << 20
     while bits < min(total // bytes_per_bit, most):
         bits *= 2
-    return bits, max(1, bits >> 18)
+    return bits, max(1, bits >> 20)
 
 
 def merge_packs(packs: DataFrame, bits: int, shards: int, twice: bool = True) -> Seen:
