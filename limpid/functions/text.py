@@ -92,6 +92,21 @@ def sanitize(col: Column, o: Sanitize = Sanitize()) -> Column:
     return F.when(fits, _sanitize_native(x, replace(counted, max_chars=None, max_bytes=None))).otherwise(rest)
 
 
+def _unclean(col: Column, o: Sanitize, gone: str) -> Column:
+    """Whether a step of the sanitiser would change the text: one search for a single class, and what is
+    cheaper to ask of the ends."""
+    start, end = o.trim in ("both", "start"), o.trim in ("both", "end")
+    if o.collapse == " ":
+        found = col.rlike(f"[{C.WS.replace(chr(92) + 'x20', '')}{gone}]") | col.contains("  ")
+        ends = [col.startswith(" ")] * start + [col.endswith(" ")] * end
+    elif o.collapse is not None:
+        return col.rlike(f"[{C.WS}{gone}]")
+    else:
+        found = col.rlike(f"[{gone}]") if gone else F.lit(False)
+        ends = [F.substring(col, 1, 1).rlike(f"[{C.WS}]")] * start + [F.substring(col, -1, 1).rlike(f"[{C.WS}]")] * end
+    return reduce(lambda x, y: x | y, ends, found)
+
+
 def _sanitize_native(col: Column, o: Sanitize) -> Column:
     x = col
     if o.trim in ("both", "start"):
@@ -109,10 +124,7 @@ def _sanitize_native(col: Column, o: Sanitize) -> Column:
     if o.block is not None:
         x = F.regexp_replace(x, f"[{_class(o.block)}]" if o.collapse is None else f"[{_class(o.block)}&&[^{spared}]]", _quoted(o.replacement))
     if o.allow is None and o.block is None:
-        # one search tells texts on which no step would do anything
-        todo = [f"^[{C.WS}]"] * (o.trim in ("both", "start")) + [f"[{C.WS}]\\z"] * (o.trim in ("both", "end")) + [f"[{gone}]"] * bool(gone)
-        todo += [] if o.collapse is None else [f"[{C.WS}]{{2}}", f"[{C.WS}&&[^ ]]"] if o.collapse == " " else [f"[{C.WS}]"]
-        x = F.when(col.rlike("|".join(todo)), x).otherwise(col) if todo else col
+        x = F.when(_unclean(col, o, gone), x).otherwise(col)  # texts on which no step would do anything stay as they are
     if o.max_chars is not None:
         x = F.substring(x, 1, o.max_chars)
     if o.trim in ("both", "end") and o.collapse is None:
