@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -30,6 +31,20 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gets Arrow batches of ``SLICE`` rows at most: both the JVM, outside its heap,
+    and the Python worker hold a batch whole. The session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) < SLICE:
+        spark.conf.set(name, str(SLICE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder, in folders ``by`` a column if one is named, and read it back.
 
@@ -37,7 +52,8 @@ def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/limpid/{uuid.uuid4().hex}-{tag}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with short_batches(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._limpid_path = path
     return out

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limpid.llm.common import drop_staged, sliced, staged
+from limpid.llm.common import drop_staged, short_batches, sliced, staged
 from limpid.llm.components import connected_components
 from limpid.llm.sketch import PACK_SCHEMA, merge_packs, pack_slots
 
@@ -155,7 +155,8 @@ def count_levels(packs: DataFrame, slots: int, shards: int) -> Levels:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(raw, 1)], pa.binary())], ["shard", "pack"])
 
     merged = packs.repartition(shards, "shard").mapInArrow(merge, PACK_SCHEMA)
-    return Levels(slots, {r["shard"]: bytes(r["pack"]) for r in merged.collect()}, shards)
+    with short_batches(packs.sparkSession):
+        return Levels(slots, {r["shard"]: bytes(r["pack"]) for r in merged.collect()}, shards)
 
 
 def prefix(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
@@ -303,6 +304,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64), pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["tok", "key", "n"])
 
     index = kept(narrow.select("t").mapInArrow(second, "tok long, key binary, n long").distinct(), "index")
+    levels.destroy()  # the index is written
     shared = kept(index.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
     postings = kept(index.join(shared, "tok"), "postings")
 
@@ -357,6 +359,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
 
     sets = kept(narrow.mapInArrow(third, "key binary, set binary"), "whole-sets")
+    chosen.destroy()
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last, own, asked = None, None, [], []
