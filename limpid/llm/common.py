@@ -59,11 +59,12 @@ def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return out
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete a table made by ``staged`` once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._limpid_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete tables made by ``staged`` once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._limpid_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -238,12 +238,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     import pyarrow as pa
 
     spark = docs.sparkSession
-    made: list[DataFrame] = []  # tables that go once the result's two are written
-
-    def kept(df: DataFrame, tag: str) -> DataFrame:
-        made.append(staged(df, tag))
-        return made[-1]
-
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
     total = narrow.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -303,24 +297,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             flat = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64), pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], ["tok", "key", "n"])
 
-    index = kept(narrow.select("t").mapInArrow(second, "tok long, key binary, n long").distinct(), "index")
+    index = staged(narrow.select("t").mapInArrow(second, "tok long, key binary, n long").distinct(), "index")
     levels.destroy()  # the index is written
-    shared = kept(index.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
-    postings = kept(index.join(shared, "tok"), "postings")
+    shared = staged(index.groupBy("tok").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
+    postings = staged(index.join(shared, "tok"), "postings")
+    drop_staged(index, shared)
 
     # Groups: each class goes with the most frequent token of its prefix, TILE of them to a group.
     home = postings.groupBy("key").agg(F.max_by("tok", F.struct("m", "tok")).alias("g"))
     parts = home.groupBy("g").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    home = kept(home.join(parts, "g").select("key", "g", F.pmod(F.xxhash64("key"), "parts").alias("part")), "groups")
+    home = staged(home.join(parts, "g").select("key", "g", F.pmod(F.xxhash64("key"), "parts").alias("part")), "groups")
     matrix = (
         postings.join(home, "key")
         .groupBy("tok", "g", "part")
         .agg(F.count("*").alias("holders"), F.min("key").alias("holder"), F.min("n").alias("small"), F.max("n").alias("large"))
     )
-    matrix = kept(matrix, "matrix")
+    matrix = staged(matrix, "matrix")
     alone = (F.col("holders") == 1) & (F.col("holder") == F.col("key"))
     sizes_meet = (F.col("n") * percent <= F.col("large") * 100) & (F.col("small") * percent <= F.col("n") * 100)
-    pairs = kept(postings.join(matrix, "tok").filter(~alone & sizes_meet).select("key", "g", "part").distinct(), "pairs")
+    pairs = staged(postings.join(matrix, "tok").filter(~alone & sizes_meet).select("key", "g", "part").distinct(), "pairs")
+    drop_staged(postings, matrix)
     chunks = pairs.groupBy("g", "part").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
     queries = pairs.join(chunks, ["g", "part"]).select("key", "g", "part", F.pmod(F.xxhash64("key", F.lit(1)), "chunks").alias("chunk"), F.lit(2).alias("role"))
     stock = home.join(chunks, ["g", "part"]).select("key", "g", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("role"))
@@ -329,11 +325,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = members.filter("key is not null").groupBy("key").agg(
         F.min("i").alias("least"), F.count("*").alias("copies"), F.min("row").alias("row")
     )
-    classes = kept(classes, "classes")
-    roles = kept(roles.join(classes.select("key", "copies"), "key"), "roles")
+    classes = staged(classes, "classes")
+    roles = staged(roles.join(classes.select("key", "copies"), "key"), "roles")
+    drop_staged(pairs, home)
 
     # Pass three: whole sets, only of the classes compared and from one document each.
-    wanted = kept(roles.select("key").distinct().join(classes, "key").select("row"), "wanted")
+    wanted = staged(roles.select("key").distinct().join(classes, "key").select("row"), "wanted")
     bits = 1 << 20
     while bits < min(16 * wanted.count(), 1 << 28):
         bits *= 2
@@ -358,8 +355,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["key", "set"])
 
-    sets = kept(narrow.mapInArrow(third, "key binary, set binary"), "whole-sets")
+    sets = staged(narrow.mapInArrow(third, "key binary, set binary"), "whole-sets")
     chosen.destroy()
+    drop_staged(wanted)
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last, own, asked = None, None, [], []
@@ -389,7 +387,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield done()
 
     laid = roles.join(sets, "key").repartition("g", "part", "chunk").sortWithinPartitions("g", "part", "chunk", "key")
-    found = kept(laid.select("g", "part", "chunk", "role", "key", "set", "copies").mapInArrow(tiles, "a binary, b binary, n long"), "links")
+    found = staged(laid.select("g", "part", "chunk", "role", "key", "set", "copies").mapInArrow(tiles, "a binary, b binary, n long"), "links")
+    drop_staged(roles, sets)
     labels = connected_components(found.filter("b is not null").select("a", "b"))
     degrees = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("linked"))
 
@@ -402,8 +401,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("key", F.coalesce("component", "least").alias("component"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("linked"))
     )
     info = staged(info, "components")  # a plain scan on each side lets a skewed join be split
-    for df in made:
-        drop_staged(df)
+    drop_staged(found, classes)
     return members.join(info, "key", "left").select(
         F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "i").alias("component_id"), F.coalesce("linked", F.lit(0)).cast("long").alias("n_links")
     )
