@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
-from limpid.llm.common import staged, table
+from limpid.llm.common import drop_staged, staged, table
+from limpid.llm.sketch import sifted
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,18 +34,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of documents linked by near-equal texts one row stays: of those with the smallest id, the one with the smallest hash
     of its text. Rows are told apart by id and text, so another text under the same id stays, of rows
     equal in both one does, and copies without id leave one too. Texts without words are linked with nothing."""
-    rows = staged(docs.withColumn("_limpid_row", F.monotonically_increasing_id()), "rows")
-    joined = jaccard_join.jaccard_join(rows, id_col="_limpid_row")
-    # the ids of components are row numbers here: the class of rows, whatever their documents' ids
-    classes = joined.select(F.col("_limpid_row"), F.col("component_id").alias("_limpid_class"))
-    narrow = rows.select("_limpid_row", "doc_id", F.xxhash64("text").alias("h"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
-    known = staged(narrow.join(classes, "_limpid_row"), "classes")
-    # of a class the least id, nulls last; of texts without words only equal rows are a class, by id and text
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "_limpid_row")
-    best = known.groupBy("_limpid_class").agg(F.min_by("_limpid_row", first).alias("_limpid_row"), F.count("*").alias("n"))
-    again = known.groupBy("doc_id", "t").agg(F.min("_limpid_row").alias("_limpid_row"))
-    chosen = staged(best.select("_limpid_row").join(again.select("_limpid_row"), "_limpid_row", "left_semi"), "kept")
-    return rows.join(chosen, "_limpid_row", "left_semi").select(*docs.columns)
+    ident = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
+    # a row goes by what it holds, so no copy of the texts is written to number them
+    key = F.unhex(F.substring(F.sha2(F.concat(ident, F.sha2(text, 256)), 256), 1, 32))
+    rows = docs.withColumn("_limpid_key", key)
+    joined = jaccard_join.jaccard_join(rows, id_col="_limpid_key")
+    # the ids of components are keys here: the class of rows, whatever their documents' ids; without words only equal rows are one
+    classes = joined.groupBy("_limpid_key").agg(F.min("component_id").alias("_limpid_class"), F.count("*").alias("n"))
+    narrow = rows.select("_limpid_key", "doc_id", F.xxhash64(text).alias("h")).groupBy("_limpid_key").agg(F.min("doc_id").alias("doc_id"), F.min("h").alias("h"))
+    known = staged(narrow.join(classes, "_limpid_key"), "classes")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "_limpid_key")  # of a class the least id, nulls last
+    best = known.groupBy("_limpid_class").agg(F.min_by("_limpid_key", first).alias("_limpid_key"))
+    stays = known.join(best.select("_limpid_key", F.lit(True).alias("stays")), "_limpid_key", "left")
+    verdicts = staged(stays.select("_limpid_key", "n", F.coalesce("stays", F.lit(False)).alias("stays")), "verdicts")
+    drop_staged(known)
+    return sifted(rows, "_limpid_key", verdicts).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,3 +108,56 @@ def merge_packs(packs: DataFrame, bits: int, shards: int, twice: bool = True) ->
 
     merged = packs.repartition(shards, "shard").mapInArrow(merge, PACK_SCHEMA)
     return Seen(bits, {r["shard"]: r["pack"] for r in merged.collect()}, shards)
+
+
+def filter_of(rows: DataFrame, bits: int, shards: int) -> Seen:
+    """The once-seen filter of the hashes in the one column of ``rows``."""
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            got = list(pack_slots(np.concatenate(held), bits, shards))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([p for _, p in got], pa.binary())], ["shard", "pack"])
+
+        for b in batches:
+            held.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            size += b.num_rows
+            if size >= 1 << 20:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    return merge_packs(rows.mapInArrow(pack, PACK_SCHEMA), bits, shards, twice=False)
+
+
+def sifted(docs: DataFrame, key_col: str, known: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``docs`` whose key stays, the least one of those with the same key. ``known`` has one row for each
+    key: (``key_col``, n: rows that have it, stays).
+
+    Two filters of ``max_bits`` / 8 bytes at most are broadcast, of keys that stay and of keys that go or have several
+    rows. A row in only one of them is settled where it is; only rows in both, mostly by chance, are shuffled
+    and joined, so the result is exact whatever the filters let through.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    bits = min(1 << 20, max_bits)
+    while bits < min(16 * known.count(), max_bits):
+        bits *= 2
+    shards = max(1, min(64, bits >> 18))
+    hashed = F.xxhash64(F.col(key_col))
+    stay = spark.sparkContext.broadcast(filter_of(known.filter("stays").select(hashed), bits, shards))
+    rest = spark.sparkContext.broadcast(filter_of(known.filter("not stays or n > 1").select(hashed), bits, shards))
+
+    @F.pandas_udf("int")
+    def found(h: pd.Series) -> pd.Series:
+        h = h.to_numpy().astype(np.int64).view(np.uint64)
+        return pd.Series(stay.value.hits(h) + 2 * rest.value.hits(h).astype(np.int32))
+
+    told = docs.withColumn("_limpid_found", found(hashed))
+    sure = told.filter("_limpid_found = 1").select(*names)
+    each = told.filter("_limpid_found = 3").groupBy(key_col).agg(F.min(F.struct(*names)).alias("_limpid_least"))
+    return sure.unionByName(each.join(known.filter("stays"), key_col, "left_semi").select("_limpid_least.*"))

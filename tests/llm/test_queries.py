@@ -284,3 +284,46 @@ def test_pipeline_stages(spark, folder, tmp_path):
     assert set(range(150)) <= left and not left & {500, 501, 502, 900, 901}
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), folder[0]).count() == 0
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` write for shuffles."""
+    jvm = spark.sparkContext._jvm
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    each = lambda: {(s := got.apply(k)).stageId(): s.shuffleWriteBytes() for got in [stages()] for k in range(got.size())}
+    settle = lambda: spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    settle()
+    last = max(each(), default=-1)
+    run()
+    settle()
+    return sum(n for k, n in each().items() if k > last)
+
+
+def test_near_copies_leave_texts_where_they_are(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.randbytes(100).hex() for _ in range(30)) for _ in range(400)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)] + [(1000 + k, texts[k] + " more", "en", "s", 1) for k in range(20)] + [(7, texts[7], "en", "r", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "in"))
+    df, out = spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out")
+    written = []
+    monkeypatch.setattr(C, "staged", lambda df, tag, f=C.staged: (written.append(df.columns), f(df, tag))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on tables too large to broadcast
+    try:
+        moved = shuffled(spark, lambda: C.one_of_each_group(spark, df, "").write.parquet(out))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    kept = spark.read.parquet(out).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == list(enumerate(texts)) and all(r["source"] == ("r" if r["doc_id"] == 7 else "s") for r in kept)
+    assert not any("text" in names for names in written) and 0 < moved < 0.3 * sum(map(len, texts)), (written, moved)
+
+
+def test_rows_that_both_filters_hold_are_joined(spark):
+    from limpid.llm.sketch import sifted
+
+    df = spark.createDataFrame([(k % 3000, f"t{k}") for k in range(4000)], "k long, text string")
+    known = df.groupBy("k").agg(F.count("*").alias("n")).withColumn("stays", F.col("k") % 2 == 0)
+    for bits in (1 << 6, 1 << 20):
+        assert sorted(tuple(r) for r in sifted(df, "k", known, bits).collect()) == [(k, min(f"t{k}", f"t{k + 3000}" if k < 1000 else f"t{k}")) for k in range(0, 3000, 2)]
